@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import langid, mixing, pii, simhash
 
 
 def queries():
-    return {"op6_mix": mixing.op6_mix}
+    return {"op3_pii": pii.op3_pii, "op6_mix": mixing.op6_mix, "op7_simhash": simhash.op7_simhash, "op10_langid": langid.op10_langid}
 
 
 def oracle_sql():
