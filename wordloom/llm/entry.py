@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, simhash
+import corpus_pipeline
+
+from . import langid, mixing, pii, simhash, spm
 
 
 def queries():
-    return {"op3_pii": pii.op3_pii, "op6_mix": mixing.op6_mix, "op7_simhash": simhash.op7_simhash, "op10_langid": langid.op10_langid}
+    return {
+        "op3_pii": pii.op3_pii,
+        "op6_mix": mixing.op6_mix,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_spm": spm.op8_spm,
+        "op10_langid": langid.op10_langid,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql():
