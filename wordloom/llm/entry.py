@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, mixing, pii, simhash, spm
+from . import langid, mixing, pii, quality, simhash, spm
 
 
 def queries():
     return {
         "op3_pii": pii.op3_pii,
+        "op5_quality": quality.op5_quality,
         "op6_mix": mixing.op6_mix,
         "op7_simhash": simhash.op7_simhash,
         "op8_spm": spm.op8_spm,
