@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, mixing, pii, quality, simhash, spm
+from . import ann, langid, mixing, pii, quality, simhash, spm, warc
 
 
 def queries():
     return {
+        "op2_warc": warc.op2_warc,
         "op3_pii": pii.op3_pii,
+        "op4_ann": ann.op4_ann,
         "op5_quality": quality.op5_quality,
         "op6_mix": mixing.op6_mix,
         "op7_simhash": simhash.op7_simhash,
@@ -20,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_mix": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op6_mix": mixing.ORACLE}
