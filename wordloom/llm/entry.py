@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, langid, mixing, pii, quality, simhash, spm, warc
+from . import ann, langid, licenses, mixing, pii, quality, simhash, spm, warc, wrappers
 
 
 def queries():
     return {
+        "op1_wrappers": wrappers.op1_wrappers,
         "op2_warc": warc.op2_warc,
         "op3_pii": pii.op3_pii,
         "op4_ann": ann.op4_ann,
@@ -16,10 +17,11 @@ def queries():
         "op6_mix": mixing.op6_mix,
         "op7_simhash": simhash.op7_simhash,
         "op8_spm": spm.op8_spm,
+        "op9_licenses": licenses.op9_licenses,
         "op10_langid": langid.op10_langid,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.ORACLE, "op6_mix": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE}
