@@ -6,7 +6,7 @@ score adds the logarithms over its words. The piece probabilities are fitted by
 maximisation (forward-backward) on word counts of a bounded sample of labelled documents:
 all documents where a language has at most ``max_docs`` of them, else as many, chosen by a hash.
 
-A word is a run of letters, lower-cased, behind the marker of a word's start. A character that is no
+A word is a run of letters (with their marks), lower-cased, behind the marker of a word's start. A character that is no
 piece falls back to its own unknown piece. A word is scored once for all its occurrences in a batch.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled document
@@ -16,12 +16,12 @@ long texts are used whole; other columns are left out.
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +33,13 @@ MAX_DOCS = 2000
 ITERATIONS = 3
 #: Added to the expected count of each piece, so that none is impossible.
 SMOOTHING = 0.05
-#: Scored words that a worker keeps.
+#: Scored tokens of one generation that a worker keeps.
 CACHE = 300_000
 MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_EDGES = ".,;:!?()[]{}\"'#*$%&|<>-_=+0123456789"
+#: Factor of the substrings' hash.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceVocabulary:
@@ -48,32 +51,51 @@ class PieceVocabulary:
         self.unknown = len(self.ids)
         self.size = self.unknown + 1
         self.longest = max(map(len, self.ids))
+        #: Hash of every beginning of a piece, and the piece's id or -1: where a beginning is absent, no piece follows.
+        beginnings = dict.fromkeys((t[:k] for t in self.ids for k in range(1, len(t))), -1) | self.ids
+        hashes = {}
+        for t, piece in beginnings.items():
+            h = 0
+            for c in t:
+                h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
+            hashes[h] = piece
+        self.hashes = np.array(sorted(hashes), dtype=np.uint64)
+        self.piece_at = np.array([hashes[h] for h in sorted(hashes)], dtype=np.int64)
 
     @classmethod
     def load(cls, path: str):
         return cls(p for p, _, kind in spm_model.load(path).pieces if kind == spm_model.NORMAL)
 
     def lattice(self, words: list[str]):
-        """words of one length -> arrays (start, end, row, piece) by position; every single character has an arc."""
-        n = len(words[0])
-        arcs = []
-        get, unknown, longest = self.ids.get, self.unknown, self.longest
-        for start in range(n):
-            for end in range(start + 1, min(n, start + longest) + 1):
-                found = np.array([get(w[start:end], -1) for w in words], dtype=np.int64)
-                if end == start + 1:
-                    found[found < 0] = unknown
-                rows = np.flatnonzero(found >= 0)
-                if len(rows):
-                    arcs.append((start, end, rows, found[rows]))
-        return arcs
-
-
-def by_length(words):
-    groups: dict[int, list[str]] = {}
-    for w in words:
-        groups.setdefault(len(w), []).append(w)
-    return groups
+        """words of one length -> arrays (start, end, row, piece) by position; every single character has an arc.
+
+        Substrings grow by one character at a time, all words at once; one that begins no piece stops.
+        """
+        n, count = len(words[0]), len(words)
+        chars = np.array(words).view(np.uint32).reshape(count, n).T.astype(np.uint64).ravel()
+        at = np.arange(n * count)
+        h = np.zeros(n * count, dtype=np.uint64)
+        arcs = {}
+        for size in range(1, n + 1):
+            fits = at < (n - size + 1) * count
+            at = at[fits]
+            h = h[fits] * _BASE + chars[at + (size - 1) * count] + np.uint64(1)
+            slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[slot] == h
+            piece = np.where(known, self.piece_at[slot], -1)
+            if size == 1:
+                piece[piece < 0] = self.unknown
+            hit = piece >= 0
+            place, found = at[hit], piece[hit]
+            cut = np.searchsorted(place, np.arange(n - size + 2) * count)
+            for start in range(n - size + 1):
+                if cut[start] < cut[start + 1]:
+                    part = slice(cut[start], cut[start + 1])
+                    arcs[start, start + size] = (place[part] - start * count, found[part])
+            at, h = at[known], h[known]
+            if not len(at):
+                break
+        return [(start, end, *arcs[start, end]) for start, end in sorted(arcs)]
 
 
 def forward(vocab: PieceVocabulary, probs: np.ndarray, words: list[str]) -> np.ndarray:
@@ -125,51 +147,59 @@ def expected_counts(vocab: PieceVocabulary, probs: np.ndarray, words: list[str],
 
 
 def words_of(text: str) -> list[str]:
-    return [MARK + w for w in _LETTERS.findall(text.lower())]
+    """The words of a text or token in lower case."""
+    bare = text.strip(_EDGES)
+    if bare.isalpha():
+        return [MARK + bare]
+    return [MARK + w for w in _LETTERS.findall(text)]
 
 
 class LanguageModel:
+    """Scores texts. Tokens (as cut by white space) are scored once and kept in two generations: what is
+    used again survives, the rest makes room."""
+
     def __init__(self, vocab: PieceVocabulary, langs: list[str], probs: np.ndarray):
         self.vocab, self.langs, self.probs = vocab, langs, probs
-        self.cache: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs)))
-
-    def learn_tokens(self, tokens) -> None:
-        """Scores tokens (as cut by white space) that were not seen before; a token's words are scored once."""
-        fresh = [t for t in tokens if t not in self.cache]
-        if not fresh:
-            return
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache, self.table = {}, np.zeros((0, len(self.langs)))
-            fresh = list(tokens)
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, len(langs)))
+        self.old: tuple[dict[str, int], np.ndarray] = ({}, self.scores)
+
+    def learn(self, tokens: set[str]) -> None:
+        known, scores = self.old
+        again = sorted(tokens & known.keys())
+        fresh = sorted(tokens - known.keys())
         own = [words_of(t) for t in fresh]
         words = sorted({w for ws in own for w in ws})
-        scores = np.vstack([forward(self.vocab, self.probs, words), np.zeros((1, len(self.langs)))]) if words else np.zeros((1, len(self.langs)))
         at = {w: k for k, w in enumerate(words)}
-        rows = np.array([at[ws[0]] if ws else len(words) for ws in own])
-        new = scores[rows]
+        by_word = np.vstack([forward(self.vocab, self.probs, words), np.zeros((1, len(self.langs)))])
+        new = by_word[np.array([at[ws[0]] if ws else len(words) for ws in own], dtype=np.int64)]
         for k, ws in enumerate(own):
             for w in ws[1:]:
-                new[k] += scores[at[w]]
-        self.cache.update((t, len(self.table) + k) for k, t in enumerate(fresh))
-        self.table = np.vstack([self.table, new])
+                new[k] += by_word[at[w]]
+        old = scores[np.array([known[t] for t in again], dtype=np.int64)]
+        self.place.update(zip(chain(again, fresh), range(len(self.scores), len(self.scores) + len(tokens)), strict=True))
+        self.scores = np.vstack([self.scores, old, new])
 
     def predict(self, texts) -> list[tuple[str, float]]:
         """(language, posterior) of each text."""
-        cut = [t.lower().split() if t else [] for t in texts]
         out = []
-        for at in range(0, len(cut), 500):
-            part = cut[at : at + 500]
-            tokens = set().union(*part)
-            if not self.langs:
-                out += [("und", 0.0)] * len(part)
-                continue
-            self.learn_tokens(tokens)
-            for words in part:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        for at in range(0, len(texts), 1000):
+            if len(self.place) > CACHE:
+                self.old = (self.place, self.scores)
+                self.place, self.scores = {}, np.zeros((0, len(self.langs)))
+            cut = [t.lower().split() if t else [] for t in texts[at : at + 1000]]
+            got = [list(map(self.place.get, ws)) for ws in cut]
+            missing = {w for ws, g in zip(cut, got, strict=True) if None in g for w, x in zip(ws, g, strict=True) if x is None}
+            if missing:
+                self.learn(missing)
+                get = self.place.__getitem__
+                got = [list(map(get, ws)) if None in g else g for ws, g in zip(cut, got, strict=True)]
+            for g in got:
                 total = np.zeros(len(self.langs))
-                for k in range(0, len(words), 1 << 20):
-                    ids = np.fromiter(map(self.cache.__getitem__, words[k : k + (1 << 20)]), dtype=np.int64)
-                    total += self.table[ids].sum(axis=0)
+                for k in range(0, len(g), 1 << 16):
+                    total += self.scores[np.array(g[k : k + (1 << 16)], dtype=np.int64)].sum(axis=0)
                 if not total.any():  # every word of letters has a negative score
                     out.append(("und", 0.0))
                     continue
@@ -200,7 +230,7 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(words_of(text))
+                seen.setdefault(lang, Counter()).update(w for t in text.lower().split() for w in words_of(t))
             rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
             if rows:
                 k, w, n = zip(*rows, strict=True)
