@@ -1,15 +1,498 @@
-"""Registered queries of the tokenization engine."""
+"""Registered queries of the tokenization engine, each over whole tables, and the same in DuckDB's SQL.
+
+Arrays are returned joined by a separator, so both engines return scalars.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import decoders, normalizers, post_processors, pre_tokenizers
+from ..operators.segment import segment
+from ..sources.definition import Definition
+from ..streaming import encode as streaming
+from ..tokenizer import LONGEST, PAD_TO_MAX, EncodeOptions, Tokenizer
+from . import fixtures
+
+SEP = "␟"
+_CUT = ""
+_MARKS = r"\p{P}!-/:-@\[-`{-~"
+
+_QUERIES: dict[str, Callable] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(name: str, sql: str | None = None):
+    def add(fn):
+        _QUERIES[name] = fn
+        if sql is not None:
+            _ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(words, SEP)
+
+
+def _column_query(name: str, table: str, keys: str, build: Callable[[], Callable[[Column], Column]], sql: str, words: bool = False) -> None:
+    """A query that maps the text of a table; sql is an expression of ``text``."""
+
+    def run(spark, sf_dir):
+        out = build()(F.col("text"))
+        return _table(spark, sf_dir, table).select(*keys.split(), (_joined(out) if words else out).alias("out"))
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    sql = f"array_to_string({sql}, '{SEP}')" if words else sql
+    _query(name, f"SELECT {keys.replace(' ', ', ')}, {sql} AS out FROM {table}")(run)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per language and source."""
+    return _stats(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_ORACLES)
+
+
+# --- normalizers ---
+
+_doc = lambda name, build, sql, words=False: _column_query(name, "documents", "doc_id", build, sql, words)
+
+_doc("norm_replace", lambda: normalizers.build({"type": "Replace", "pattern": {"String": " "}, "content": "▁"}), "replace(text, ' ', '▁')")
+_doc("norm_replace_regex", lambda: normalizers.build({"type": "Replace", "pattern": {"Regex": "(n+)"}, "content": "<$1>"}), r"regexp_replace(text, '(n+)', '<\1>', 'g')")
+_doc("norm_prepend", lambda: normalizers.build({"type": "Prepend", "prepend": "▁"}), "'▁' || text")
+_doc("norm_lower", lambda: normalizers.build({"type": "Lowercase"}), "lower(text)")
+_doc("norm_nfc", lambda: normalizers.build({"type": "NFC"}), "nfc_normalize(text)")
+_doc("norm_nfd_nfc", lambda: normalizers.build({"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "NFC"}]}), "nfc_normalize(text)")
+# the alphabet of these tables has no compatibility characters
+_doc("norm_nfkc", lambda: normalizers.build({"type": "NFKC"}), "nfc_normalize(text)")
+_doc("norm_nfkd_nfc", lambda: normalizers.build({"type": "Sequence", "normalizers": [{"type": "NFKD"}, {"type": "NFC"}]}), "nfc_normalize(text)")
+_doc("norm_strip_accents_tag", lambda: normalizers.build({"type": "StripAccents"}), "nfc_normalize(text)")
+_doc("norm_precompiled_without_map", lambda: normalizers.build({"type": "Precompiled"}), "replace(nfc_normalize(text), chr(10), ' ')")
+_doc("norm_strip", lambda: lambda c: normalizers.strip()(F.concat(F.lit(" \t"), c, F.lit("\n  "))), "trim(' ' || chr(9) || text || chr(10) || '  ', ' ' || chr(9) || chr(10) || chr(13))")
+_doc("norm_bert", lambda: normalizers.build({"type": "BertNormalizer"}), "lower(strip_accents(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')))")
+_doc("norm_clean_text", lambda: lambda c: normalizers.clean_text(F.concat(F.lit("\u0001​"), c)), "regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')")
+_column_query("norm_cjk", "benchmark", "item_id", lambda: lambda c: normalizers.space_ideographs(F.concat(F.lit("你好"), c, F.lit("x㐀y"))), r"regexp_replace('你好' || text || 'x㐀y', '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \1 ', 'g')")
+
+# --- pre-tokenizers ---
+
+_WHITESPACE = r"regexp_extract_all(text, '\S+')"
+_BERT = lambda x: rf"regexp_extract_all({x}, '[^\s{_MARKS}]+|[{_MARKS}]')"
+_doc("pre_whitespace", lambda: pre_tokenizers.build({"type": "Whitespace"}), _WHITESPACE, True)
+_doc("pre_bert", lambda: pre_tokenizers.build({"type": "BertPreTokenizer"}), _BERT("text"), True)
+_doc("pre_punctuation", lambda: pre_tokenizers.build({"type": "Punctuation"}), rf"regexp_extract_all(text, '[^{_MARKS}]+|[{_MARKS}]+')", True)
+_doc("pre_digits", lambda: pre_tokenizers.build({"type": "Digits"}), r"regexp_extract_all(text, '[^\d]+|\d+')", True)
+_doc("pre_digits_individual", lambda: pre_tokenizers.build({"type": "Digits", "individual_digits": True}), r"regexp_extract_all(text, '[^\d]+|\d')", True)
+_doc(
+    "pre_sequence",
+    lambda: pre_tokenizers.build({"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Punctuation"}]}),
+    rf"flatten(list_transform({_WHITESPACE}, lambda w: regexp_extract_all(w, '[^{_MARKS}]+|[{_MARKS}]+')))",
+    True,
+)
+
+
+def _metaspace_sql(text: str, prefixed: bool) -> str:
+    spaced = f"replace({text}, ' ', '▁')"
+    whole = f"CASE WHEN starts_with({spaced}, '▁') THEN {spaced} ELSE '▁' || {spaced} END" if prefixed else spaced
+    return f"list_filter(string_split(replace({whole}, '▁', '{_CUT}▁'), '{_CUT}'), lambda p: p <> '')"
+
+
+for _scheme in ("always", "first", "never"):
+    _doc(f"pre_metaspace_{_scheme}", lambda s=_scheme: pre_tokenizers.build({"type": "Metaspace", "replacement": "▁", "prepend_scheme": s}), _metaspace_sql("text", _scheme != "never"), True)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_BYTE_MAP = _sql_list(T.byte_character(b) for b in range(256))
+
+
+def _byte_level_sql(text: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all(hex({text}), '..'), lambda h: m.chars[('0x' || h)::INTEGER + 1]), '')"
+
+
+# RE2 has no look-ahead: a mark before the last blank of a run that a word follows takes its place
+_GPT_WORDS = (
+    rf"regexp_extract_all(regexp_replace(text, '(\s+)(\s)(\S)', '\1{_CUT}\2\3', 'g'), "
+    rf"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}{_CUT}]+|\s+')"
+)
+_query(
+    "pre_byte_level",
+    f"SELECT doc_id, array_to_string(list_transform({_GPT_WORDS}, lambda w: {_byte_level_sql('w')}), '{SEP}') AS out FROM documents, (SELECT {_BYTE_MAP} AS chars) m",
+)(lambda spark, sf: _table(spark, sf, "documents").select("doc_id", _joined(pre_tokenizers.build({"type": "ByteLevel"})(F.col("text"))).alias("out")))
+_query(
+    "pre_byte_level_prefix",
+    f"SELECT doc_id, array_to_string(list_transform({_GPT_WORDS}, lambda w: {_byte_level_sql('CASE WHEN starts_with(w, chr(32)) THEN w ELSE chr(32) || w END')}), '{SEP}') AS out FROM documents, (SELECT {_BYTE_MAP} AS chars) m",
+)(lambda spark, sf: _table(spark, sf, "documents").select("doc_id", _joined(pre_tokenizers.build({"type": "ByteLevel", "add_prefix_space": True})(F.col("text"))).alias("out")))
+
+_turn = lambda name, build, sql, words=False: _column_query(name, "conversations", "conv_id turn", build, sql, words)
+_filled = lambda x: f"list_filter(string_split({x}, '{_CUT}'), lambda p: p <> '')"
+_turn("pre_split_regex", lambda: pre_tokenizers.build({"type": "Split", "pattern": {"Regex": "\\s|,"}}), _filled(rf"regexp_replace(text, '(\s|,)', '{_CUT}\1{_CUT}', 'g')"), True)
+_turn("pre_split_string", lambda: pre_tokenizers.build({"type": "Split", "pattern": {"String": ". "}}), _filled(f"replace(text, '. ', '{_CUT}. {_CUT}')"), True)
+_turn("pre_split_invert", lambda: pre_tokenizers.build({"type": "Split", "pattern": {"String": " "}, "invert": True}), _filled(f"replace(text, ' ', '{_CUT}')"), True)
+_turn("pre_split_none", lambda: pre_tokenizers.build({"type": "Split"}), "[text]", True)
+
+# --- functions ---
+
+_query("byte_encode", f"SELECT doc_id, {_byte_level_sql('text')} AS out FROM documents, (SELECT {_BYTE_MAP} AS chars) m")(
+    lambda spark, sf: _table(spark, sf, "documents").select("doc_id", T.byte_level(F.col("text")).alias("out"))
+)
+_doc("byte_decode", lambda: lambda c: T.utf8_or_empty(T.byte_level_bytes(T.byte_level(c))), "text")
+_doc("byte_fallback_pieces", lambda: T.byte_pieces, "list_transform(regexp_extract_all(hex(text), '..'), lambda h: '<0x' || h || '>')", True)
+_doc("characters", lambda: lambda c: F.size(T.characters(c)).cast("long"), "length(text)")
+_doc("graphemes", lambda: lambda c: F.size(T.graphemes(c)).cast("long"), "length_grapheme(text)")
+_doc("code_points", lambda: lambda c: T.join(F.transform(F.slice(T.characters(c), 1, 20), lambda x: T.from_code_point(F.ascii(x)))), "substr(text, 1, 20)")
+
+# --- added tokens ---
+
+_MARKERS = ["<|assistant|>", "<|user|>", "<|end|>"]
+_MARKED = "'<|' || role || '|>' || text || '<|end|>'"
+
+
+@_query(
+    "segment_added",
+    f"SELECT conv_id, turn, array_to_string({_filled(f"regexp_replace({_MARKED}, '(<\\|assistant\\|>|<\\|user\\|>|<\\|end\\|>)', '{_CUT}\\1{_CUT}', 'g')")}, '{SEP}') AS out, "
+    "length(regexp_replace(regexp_replace('<|' || role || '|>', '^<\\|(user|assistant)\\|>$', 'x'), '^[^x].*$', '')) + 1 AS n_added FROM conversations",
+)
+def _segment_added(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").withColumn("s", segment(F.concat(F.lit("<|"), "role", F.lit("|>"), "text", F.lit("<|end|>")), _MARKERS))
+    added = F.size(F.filter("s", lambda x: x["is_added"])).cast("long")
+    return t.select("conv_id", "turn", _joined(F.transform("s", lambda x: x["piece"])).alias("out"), added.alias("n_added"))
+
+
+# --- kernels ---
+
+
+def _sql_values(rows) -> str:
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+def _word_tokens_sql(config: dict, words: str) -> str:
+    """CTEs that end in tok(word, tokens) for the words of the CTE distinct_words(word)."""
+    d = Definition.from_dict(config)
+    if d.kind == "WordPiece":
+        longest = max(map(len, d.model_vocab))
+        return f"""vocab(token) AS (VALUES {_sql_values((t,) for t in d.model_vocab)}),
+distinct_words AS (SELECT DISTINCT word FROM ({words})),
+walk(word, pos, out) AS (
+  SELECT word, 1::BIGINT, []::VARCHAR[] FROM distinct_words
+  UNION ALL SELECT word, next, out FROM (
+    SELECT w.word, w.pos + n.n AS next, list_append(w.out, v.token) AS out, row_number() OVER (PARTITION BY w.word ORDER BY n.n DESC) AS k
+    FROM walk w, range(1, {longest + 1}) n(n), vocab v
+    WHERE w.pos + n.n <= length(w.word) + 1 AND v.token = CASE WHEN w.pos > 1 THEN '{d.prefix}' ELSE '' END || substr(w.word, w.pos, n.n)) WHERE k = 1),
+tok AS (SELECT d.word, CASE WHEN length(d.word) > {d.max_chars} OR w.out IS NULL THEN ['{d.unk_token}'] ELSE w.out END AS tokens
+        FROM distinct_words d LEFT JOIN walk w ON w.word = d.word AND w.pos = length(d.word) + 1)"""
+    if d.kind == "Unigram":
+        longest = max(map(len, d.model_vocab))
+        rows = [(p, float(s)) for p, s in zip(d.pieces, d.scores, strict=True) if p != d.unk_token]
+        unk = float(min(d.scores)) - 10.0
+        return f"""vocab(token, score) AS (VALUES {_sql_values(rows)}),
+distinct_words AS (SELECT DISTINCT word FROM ({words})),
+arcs AS (SELECT word, st, st + ln AS en, substr(word, st, ln) AS piece, coalesce(v.score, {unk})::FLOAT AS score, v.token IS NULL AS unk
+         FROM distinct_words, range(1, length(word) + 1) s(st), range(1, {longest + 1}) l(ln) LEFT JOIN vocab v ON v.token = substr(word, st, ln)
+         WHERE st + ln <= length(word) + 1 AND (v.token IS NOT NULL OR ln = 1)),
+path(word, place, best) AS (
+  SELECT word, 1::BIGINT, [{{'s': 0::FLOAT, 'out': []::VARCHAR[], 'unk': FALSE}}] FROM distinct_words
+  UNION ALL SELECT word, place + 1, list_append(best, top) FROM (
+    SELECT p.word, p.place, p.best, arg_max({{'s': (p.best[a.st].s + a.score)::FLOAT,
+        'out': CASE WHEN a.unk AND p.best[a.st].unk THEN p.best[a.st].out WHEN a.unk THEN list_append(p.best[a.st].out, '{d.unk_token}') ELSE list_append(p.best[a.st].out, a.piece) END, 'unk': a.unk}},
+        {{'s': (p.best[a.st].s + a.score)::FLOAT, 'first': -a.st}}) AS top
+    FROM path p JOIN arcs a ON a.word = p.word AND a.en = p.place + 1 GROUP BY p.word, p.place, p.best)),
+tok AS (SELECT word, best[length(word) + 1].out AS tokens FROM path WHERE place = length(word) + 1)"""
+    merges = _sql_values((a, b, k) for k, (a, b) in enumerate(d.merges))
+    known = _sql_list(d.model_vocab)
+    one = f"CASE WHEN list_contains(v.known, c) THEN [c] WHEN {str(d.byte_fallback).lower()} THEN list_transform(regexp_extract_all(hex(c), '..'), lambda h: '<0x' || h || '>') ELSE ['<unk>'] END"
+    start = f"flatten(list_transform(regexp_extract_all(word, '(?s).'), lambda c: {one}))"
+    if not d.byte_fallback:  # neighbouring unknowns become one
+        start = f"list_filter(list_transform({start}, lambda c, i: CASE WHEN c = '<unk>' AND i > 1 AND {start}[i - 1] = '<unk>' THEN NULL ELSE c END), lambda c: c IS NOT NULL)"
+    whole = "list_contains(v.known, word)" if d.ignore_merges else "FALSE"
+    return f"""merges(a, b, rank) AS (VALUES {merges}),
+distinct_words AS (SELECT DISTINCT word FROM ({words})),
+first AS (SELECT word, CASE WHEN {whole} THEN [word] ELSE {start} END AS sy, {whole} AS done FROM distinct_words, (SELECT {known} AS known) v),
+steps(word, step, sy, done) AS (
+  SELECT word, 0, sy, done FROM first
+  UNION ALL SELECT word, step + 1, sy[1:i - 1] || [sy[i] || sy[i + 1]] || sy[i + 2:], FALSE FROM (
+    SELECT s.word, s.step, s.sy, p.i, row_number() OVER (PARTITION BY s.word ORDER BY m.rank, p.i) AS k
+    FROM steps s, range(1, len(s.sy)) p(i), merges m WHERE NOT s.done AND m.a = s.sy[p.i] AND m.b = s.sy[p.i + 1]) WHERE k = 1),
+tok AS (SELECT word, arg_max(sy, step) AS tokens FROM steps GROUP BY word)"""
+
+
+_BERT_WORDS = _BERT("lower(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g'))")
+_META_WORDS = f"flatten(list_transform({_WHITESPACE}, lambda x: {_metaspace_sql('x', True)}))"
+
+
+def _tokens_sql(config: dict, table: str, key: str, words: str, select: str) -> str:
+    """select over t(key, tokens): the tokens of every row of the table, in order."""
+    rows = f"SELECT {key}, unnest({words}) AS word FROM {table}"
+    return f"""WITH RECURSIVE {_word_tokens_sql(config, rows)},
+spread AS (SELECT {key}, unnest({words}) AS word, generate_subscripts({words}, 1) AS pos FROM {table}),
+grouped AS (SELECT {key}, flatten(list(tok.tokens ORDER BY pos)) AS tokens FROM spread JOIN tok USING (word) GROUP BY {key}),
+t AS (SELECT x.{key}, coalesce(grouped.tokens, []) AS tokens FROM {table} x LEFT JOIN grouped USING ({key}))
+{select}"""
+
+
+def _tokens_query(name: str, config: Callable[[], dict], table: str, key: str, words: str) -> None:
+    select = f"SELECT {key}, len(tokens)::BIGINT AS n_tokens, array_to_string(tokens, '{SEP}') AS tokens FROM t"
+    sql = _tokens_sql(config(), table, key, words, select)
+
+    def by_join(spark, sf_dir):
+        tok = Tokenizer.from_dict(config())
+        out = tok.encode_by_join(_table(spark, sf_dir, table), key, "text", False)
+        return out.select(key, F.size("tokens").cast("long").alias("n_tokens"), _joined(F.col("tokens")).alias("tokens"))
+
+    def by_arrow(spark, sf_dir):
+        tok = Tokenizer.from_dict(config())
+        out = _table(spark, sf_dir, table).select(key, tok.tokenize(F.col("text"), False).alias("tokens"))
+        return out.select(key, F.size("tokens").cast("long").alias("n_tokens"), _joined(F.col("tokens")).alias("tokens"))
+
+    _query(f"{name}_join", sql)(by_join)
+    _query(f"{name}_arrow", sql)(by_arrow)
+
+
+def _plain_wordpiece() -> dict:
+    # the tables' texts hold none of the added tokens, so rows stay whole without looking for them
+    return {k: v for k, v in fixtures.wordpiece().items() if k != "added_tokens"}
+
+
+_tokens_query("wordpiece", _plain_wordpiece, "documents", "doc_id", _BERT_WORDS)
+_tokens_query("unigram", fixtures.unigram, "benchmark", "item_id", _META_WORDS)
+_tokens_query("bpe", fixtures.bpe, "benchmark", "item_id", _WHITESPACE)
+_tokens_query("bpe_byte_fallback", lambda: fixtures.bpe(True), "benchmark", "item_id", _WHITESPACE)
+_tokens_query("bpe_ignore_merges", lambda: fixtures.bpe(True, True), "benchmark", "item_id", _WHITESPACE)
+
+_IDS = "list_transform(tokens, lambda t: coalesce(v.ids[t], v.unk))"
+
+
+def _ids_sql(config: dict) -> str:
+    d = Definition.from_dict(config)
+    pairs = ", ".join("'" + t.replace("'", "''") + f"': {i}" for t, i in d.vocab.items())
+    return f"(SELECT MAP {{{pairs}}} AS ids, {d.unk_token_id} AS unk) v"
+
+
+def _encode_sql(select: str, table: str = "benchmark", key: str = "item_id") -> str:
+    config = _plain_wordpiece()
+    special = f"SELECT {key}, list_concat(['[CLS]'], tokens, ['[SEP]']) AS tokens FROM t"
+    return _tokens_sql(config, table, key, _BERT_WORDS, select.replace("{t}", f"({special})").replace("{v}", _ids_sql(fixtures.wordpiece())))
+
+
+_nums = lambda x: f"array_to_string({x}, ' ')"
+
+
+@_query("encode_ids", _encode_sql(f"SELECT item_id, {_nums(_IDS)} AS ids FROM {{t}} x, {{v}}"))
+def _encode_ids(spark, sf_dir):
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tok.encode(F.col("text")), " ").alias("ids"))
+
+
+def _encoding(spark, sf_dir, options):
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    e = _table(spark, sf_dir, "benchmark").select("item_id", tok.encode_as_encoding(F.col("text"), options).alias("e"))
+    return e.select("item_id", *[F.array_join(f"e.{c}", SEP if c == "tokens" else " ").alias(c) for c in ("ids", "tokens", "attention_mask", "token_type_ids")])
+
+
+_PAD = 160
+
+
+@_query(
+    "encode_padded",
+    _encode_sql(
+        f"SELECT item_id, {_nums(f'list_resize({_IDS}, greatest({_PAD}, len(tokens)), 0)')} AS ids, array_to_string(list_resize(tokens, greatest({_PAD}, len(tokens)), '[PAD]'), '{SEP}') AS tokens, "
+        f"{_nums(f'list_resize(list_transform(tokens, lambda t: 1), greatest({_PAD}, len(tokens)), 0)')} AS attention_mask, "
+        f"{_nums(f'list_resize(list_transform(tokens, lambda t: 0), greatest({_PAD}, len(tokens)), 0)')} AS token_type_ids FROM {{t}} x, {{v}}"
+    ),
+)
+def _encode_padded(spark, sf_dir):
+    return _encoding(spark, sf_dir, EncodeOptions(max_length=_PAD, padding=PAD_TO_MAX))
+
+
+@_query(
+    "encode_truncated",
+    _encode_sql(
+        f"SELECT item_id, {_nums(f'({_IDS})[1:32]')} AS ids, array_to_string(tokens[1:32], '{SEP}') AS tokens, {_nums('list_transform(tokens[1:32], lambda t: 1)')} AS attention_mask, "
+        f"{_nums('list_transform(tokens[1:32], lambda t: 0)')} AS token_type_ids FROM {{t}} x, {{v}}"
+    ),
+)
+def _encode_truncated(spark, sf_dir):
+    return _encoding(spark, sf_dir, EncodeOptions(max_length=32, truncation=LONGEST))
+
+
+@_query("vocab_lookup", _encode_sql("SELECT token, id, count(*)::BIGINT AS n FROM (SELECT unnest(tokens) AS token, unnest(" + _IDS + ") AS id FROM {t} x, {v}) GROUP BY 1, 2"))
+def _vocab_lookup(spark, sf_dir):
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    found = _table(spark, sf_dir, "benchmark").select(F.explode(tok.tokenize(F.col("text"))).alias("token"))
+    counts = found.groupBy("token").count()
+    return counts.join(tok.vocab_table(spark), "token", "left").select("token", F.coalesce("id", F.lit(tok.definition.unk_token_id)).alias("id"), F.col("count").alias("n"))
+
+
+@_query(
+    "trie_prefixes",
+    f"WITH vocab(token) AS (VALUES {_sql_values((t,) for t in fixtures.wordpiece()['model']['vocab'])}), words AS (SELECT DISTINCT unnest({_BERT_WORDS}) AS word FROM benchmark) "
+    "SELECT word, token FROM words JOIN vocab ON starts_with(word, token)",
+)
+def _trie_prefixes(spark, sf_dir):
+    tok = Tokenizer.from_dict(_plain_wordpiece())
+    words = tok.word_rows(_table(spark, sf_dir, "benchmark"), "text", ("item_id",)).select("word").distinct()
+    longest = max(map(len, tok.definition.vocab))
+    # an equality on substrings, not a comparison of every word with every token
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word")))).alias("n")).select("word", F.substr("word", F.lit(1), F.col("n")).alias("token"))
+    return starts.join(tok.vocab_table(spark), "token").select("word", "token")
+
+
+# --- post-processors ---
+
+_PAIRS = "(SELECT a.conv_id, a.turn, regexp_extract_all(a.text, '\\S+') AS a, regexp_extract_all(b.text, '\\S+') AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+
+
+def _pairs(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", pre_tokenizers.whitespace(F.col("text")).alias("words"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("b"))
+    return t.withColumnRenamed("words", "a").join(after, ["conv_id", "turn"])
+
+
+_ITEM = lambda kind, name: {kind: {"id": name, "type_id": 0}}
+_TEMPLATE = {
+    "type": "TemplateProcessing",
+    "single": [_ITEM("SpecialToken", "<s>"), _ITEM("Sequence", "A"), _ITEM("SpecialToken", "</s>")],
+    "pair": [_ITEM("SpecialToken", "<s>"), _ITEM("Sequence", "A"), _ITEM("SpecialToken", "<sep>"), _ITEM("Sequence", "B"), _ITEM("SpecialToken", "</s>")],
+}
+_BERT_POST = {"type": "BertProcessing", "cls": ["[CLS]", 0], "sep": ["[SEP]", 1]}
+_ROBERTA = {"type": "RobertaProcessing", "cls": ["<s>", 0], "sep": ["</s>", 1], "trim_offsets": True, "add_prefix_space": False}
+_SEQUENCE = {"type": "Sequence", "processors": [{"type": "ByteLevel"}, _BERT_POST]}
+for _name, _config, _single, _double in (
+    ("template", _TEMPLATE, "['<s>'] || a || ['</s>']", "['<s>'] || a || ['<sep>'] || b || ['</s>']"),
+    ("bert", _BERT_POST, "['[CLS]'] || a || ['[SEP]']", "['[CLS]'] || a || ['[SEP]'] || b || ['[SEP]']"),
+    ("roberta", _ROBERTA, "['<s>'] || a || ['</s>']", "['<s>'] || a || ['</s>', '</s>'] || b || ['</s>']"),
+    ("byte_level", {"type": "ByteLevel"}, "a", "a || b"),
+    ("sequence", _SEQUENCE, "['[CLS]'] || a || ['[SEP]']", "['[CLS]'] || a || b || ['[SEP]']"),
+):
+    _query(f"post_{_name}", f"SELECT conv_id, turn, array_to_string({_single}, '{SEP}') AS single, array_to_string({_double}, '{SEP}') AS pair, array_to_string(a || b, '{SEP}') AS bare FROM {_PAIRS}")(
+        lambda spark, sf, c=_config: _pairs(spark, sf).select(
+            "conv_id", "turn",
+            *[_joined(post_processors.build(c)(F.col("a"), p, special)).alias(n) for n, p, special in (("single", None, True), ("pair", F.col("b"), True), ("bare", F.col("b"), False))],
+        )
+    )
+
+# --- decoders ---
+
+
+def _decode(name: str, config: dict, tokens: Callable[[Column], Column], sql_tokens: str, sql: str) -> None:
+    """Decodes an array made from each text; sql is an expression of the list ``x``."""
+
+    def run(spark, sf_dir):
+        x = tokens(F.col("text"))
+        return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(decoders.build(config)(x), "").alias("out"))
+
+    _query(name, f"SELECT item_id, {sql} AS out FROM (SELECT item_id, text, {sql_tokens} AS x FROM benchmark)")(run)
+
+
+_words = pre_tokenizers.whitespace
+_each = lambda body: f"array_to_string(list_transform(x, lambda t, i: {body}), '')"
+_hashed = lambda c: F.transform(_words(c), lambda w: F.when(F.length(w) > 4, F.concat(F.lit("##"), w)).otherwise(w))
+_decode("decode_wordpiece", {"type": "WordPiece", "prefix": "##"}, _hashed, f"list_transform({_WHITESPACE}, lambda w: CASE WHEN length(w) > 4 THEN '##' || w ELSE w END)", _each("CASE WHEN i = 1 THEN t WHEN starts_with(t, '##') THEN substr(t, 3) ELSE ' ' || t END"))
+_decode(
+    "decode_wordpiece_cleanup", {"type": "WordPiece", "prefix": "##", "cleanup": True}, pre_tokenizers.bert, _BERT("text"),
+    _each(r"replace(regexp_replace(CASE WHEN i = 1 THEN t WHEN starts_with(t, '##') THEN substr(t, 3) ELSE ' ' || t END, '\s(\.|\?|\!|\,|''\s|n''t|''m|''s|''ve|''re)', '\1', 'g'), ' do not', ' don''t')"),
+)
+_decode("decode_replace", {"type": "Replace", "pattern": {"String": "e"}, "content": "3"}, _words, _WHITESPACE, _each("replace(t, 'e', '3')"))
+_decode("decode_fuse", {"type": "Fuse"}, _words, _WHITESPACE, "array_to_string(x, '')")
+_decode("decode_strip", {"type": "Strip", "content": "t", "start": 1, "stop": 2}, _words, _WHITESPACE, _each("regexp_replace(regexp_replace(t, '^t{0,1}', ''), 't{0,2}$', '')"))
+_decode("decode_metaspace", {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always"}, pre_tokenizers.metaspace("▁"), _metaspace_sql("text", True), _each("replace(t, '▁', CASE WHEN i = 1 THEN '' ELSE ' ' END)"))
+_decode("decode_sequence", {"type": "Sequence", "decoders": [{"type": "Replace", "pattern": {"String": "h"}, "content": "H"}, {"type": "Fuse"}]}, _words, _WHITESPACE, "replace(array_to_string(x, ''), 'h', 'H')")
+_decode("decode_byte_level", {"type": "ByteLevel"}, pre_tokenizers.byte_level_words(), "[]", "text")
+_decode("decode_byte_fallback", {"type": "ByteFallback"}, T.byte_pieces, "[]", "text")
+
+
+@_query("roundtrip_byte_level", "SELECT doc_id, text AS out FROM documents")
+def _roundtrip(spark, sf_dir):
+    tok = Tokenizer.from_dict(fixtures.byte_bpe())
+    ids = _table(spark, sf_dir, "documents").select("doc_id", tok.encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", tok.decode(F.col("ids")).alias("out"))
+
+
+@_query(
+    "decode_by_join",
+    _tokens_sql(_plain_wordpiece(), "benchmark", "item_id", _BERT_WORDS, r"""SELECT item_id, array_to_string(list_transform(list_filter(tokens, lambda t: t <> '[UNK]'), lambda t, i:
+  replace(regexp_replace(CASE WHEN i = 1 THEN t WHEN starts_with(t, '##') THEN substr(t, 3) ELSE ' ' || t END, '\s(\.|\?|\!|\,|''\s|n''t|''m|''s|''ve|''re)', '\1', 'g'), ' do not', ' don''t')), '') AS text FROM t"""),
+)
+def _decode_by_join(spark, sf_dir):
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    ids = _table(spark, sf_dir, "benchmark").select("item_id", tok.encode(F.col("text")).alias("ids"))
+    return tok.decode_by_join(ids, "item_id")
+
+
+# --- reports ---
+
+
+def _unk_counts() -> str:
+    return "len(tokens)::BIGINT AS n_tokens, len(list_filter(tokens, lambda t: t = '[UNK]'))::BIGINT AS n_unk"
+
+
+@_query("wordpiece_unk_rate", _tokens_sql(_plain_wordpiece(), "documents", "doc_id", _BERT_WORDS, f"SELECT doc_id, {_unk_counts()} FROM t"))
+def _unk_rate(spark, sf_dir):
+    tok = Tokenizer.from_dict(_plain_wordpiece())
+    t = _table(spark, sf_dir, "documents").select("doc_id", tok.tokenize(F.col("text"), False).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: x == "[UNK]")).cast("long").alias("n_unk"))
+
+
+@_query(
+    "token_stats_by_lang",
+    _tokens_sql(_plain_wordpiece(), "documents", "doc_id", _BERT_WORDS, f"SELECT lang, source, count(*)::BIGINT AS n_docs, sum(n_tokens)::BIGINT AS n_tokens, sum(n_unk)::BIGINT AS n_unk FROM (SELECT doc_id, {_unk_counts()} FROM t) JOIN documents USING (doc_id) GROUP BY 1, 2"),
+)
+def _stats(spark, sf_dir):
+    tok = Tokenizer.from_dict(_plain_wordpiece())
+    t = _table(spark, sf_dir, "documents").select("lang", "source", tok.tokenize(F.col("text"), False).alias("t"))
+    t = t.select("lang", "source", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: x == "[UNK]")).cast("long").alias("u"))
+    return t.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk"))
+
+
+@_query("oov_report", f"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_BERT_WORDS}) AS word FROM documents) WHERE word NOT IN ({', '.join(_sql_list([t])[1:-1] for t in fixtures.wordpiece()['model']['vocab'])}) GROUP BY 1")
+def _oov(spark, sf_dir):
+    tok = Tokenizer.from_dict(_plain_wordpiece())
+    words = tok.word_rows(_table(spark, sf_dir, "documents"), "text", ("doc_id",)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    vocab = tok.vocab_table(spark)
+    return words.join(vocab, words["word"] == vocab["token"], "left_anti").select("word", "n")
+
+
+@_query(
+    "top_tokens",
+    _tokens_sql(_plain_wordpiece(), "documents", "doc_id", _BERT_WORDS, "SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY 1 ORDER BY n DESC, token LIMIT 50"),
+)
+def _top(spark, sf_dir):
+    tok = Tokenizer.from_dict(_plain_wordpiece())
+    t = _table(spark, sf_dir, "documents").select(F.explode(tok.tokenize(F.col("text"), False)).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(50)
+
+
+@_query("vocab_source", f"SELECT * FROM (VALUES {_sql_values((t, i, t in Definition.from_dict(fixtures.wordpiece()).special) for t, i in Definition.from_dict(fixtures.wordpiece()).vocab.items())}) v(token, id, special)")
+def _vocab_source(spark, sf_dir):
+    """The vocabulary as a table, with its special tokens marked."""
+    d = Definition.from_dict(fixtures.wordpiece())
+    special = F.array(*[F.lit(t) for t in sorted(d.special)])
+    return d.vocab_table(spark).select("token", "id", F.array_contains(special, F.col("token")).alias("special"))
+
+
+@_query("stream_encode", _encode_sql(f"SELECT item_id, {_nums(_IDS)} AS ids FROM {{t}} x, {{v}}"))
+def _stream_encode(spark, sf_dir):
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    schema = _table(spark, sf_dir, "benchmark").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/benchmark.parquet")
+    out = streaming.run_once(streaming.encode_stream(stream, tok).select("item_id", "encoding.ids"))
+    return out.select("item_id", F.array_join("ids", " ").alias("ids"))
+
+
