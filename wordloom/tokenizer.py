@@ -194,7 +194,7 @@ def _kernel(d: Definition):
                 if part["is_added"]:
                     tokens += part["words"]
                     continue
-                for w in part["words"]:
+                for w in part["words"] or ():
                     t = known.get(w)
                     if t is None:
                         if len(known) >= kernels.CACHE:
