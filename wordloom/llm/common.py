@@ -39,3 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def words_in(col) -> "F.Column":
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in smaller pieces, so that what a worker makes of one at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -4,13 +4,14 @@ The model file is parsed (``spm_model``) and rebuilt as a ``tokenizers.Tokenizer
 white-space rules as the normaliser, the marker of a word's start, unigram scores or the merges that the scores
 of a BPE model imply, and byte fallback. Batches are encoded and decoded with the library's threads.
 
-If no piece of a BPE model has a marker after another character or holds a line feed, merges never cross a
-word's start or a line feed, so a text's ids are those of its words in a row. Then each distinct word is
-encoded once and remembered; other models encode whole texts.
+If no piece of a BPE model has a marker or a line feed after another character, merges never cross a word's start or
+a line feed, so a text's ids are those of its words in a row. Then a batch is cut into words, each distinct word is
+encoded once and remembered, and the ids are put together by array operations. Texts with blanks in a row, and
+all texts of other models, are encoded whole.
 
-Parity. SentencePiece breaks ties between equally scored merges from the left, the merge table by rank, so
-``encode`` compares what it is about to remember (words, or whole texts) with the reference library, and keeps
-the reference's ids where the two differ.
+Parity. SentencePiece breaks ties between equally scored merges from the left, the merge table by rank. So every
+word that is remembered, and every text that is encoded whole, is compared with the reference library, and the
+reference's ids are kept where the two differ. Words are also decoded again to tell which texts come back.
 
 Edge cases: null texts have null ids and null counts; empty texts have none; texts of any length are encoded
 whole; special pieces in a text are ordinary characters; other columns are left out; an empty table gives an
@@ -21,23 +22,27 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spm_model
-from .common import table
+from .common import slices, table
 
 MARK = "▁"
-#: Distinct words that a worker remembers.
-CACHE = 250_000
+#: Words or texts that are encoded in one call: an encoding is far larger than its ids.
+SLICE = 2048
+#: Threads of a worker; each keeps memory of its own.
+THREADS = 2
+#: Words that a worker remembers.
+WORDS = 1_000_000
 
 
 def build(m: spm_model.SpmModel, normalise: bool = True):
-    """The model as a tokenizers.Tokenizer."""
+    """The model as a tokenizers.Tokenizer; without normalisation for texts that have their markers already."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if m.model_type == spm_model.UNIGRAM:
@@ -69,102 +74,147 @@ def build(m: spm_model.SpmModel, normalise: bool = True):
     if m.add_dummy_prefix:
         back.append(decoders.Strip(" ", 1, 0))
     t.decoder = decoders.Sequence(back)
+    t.encode_special_tokens = True
     return t
 
 
+def _overlaps(piece: str, k: int) -> bool:
+    """Whether piece[:k] + piece[k:] may meet piece[:j] + piece[j:] over a shared middle, j = len(piece) - k."""
+    return 0 < k < len(piece) and piece[k:] == piece[: len(piece) - k]
+
+
 def merges(m: spm_model.SpmModel) -> list[tuple[str, str]]:
-    """Every way to put a piece together from two others, the best scored piece first."""
+    """Every way to put a piece together from two others, the best scored piece first.
+
+    Two ways of one piece compete where they share their middle; there the one that may lie to the left
+    comes first, as the reference merges from the left.
+    """
     score = {p: s for p, s, k in m.pieces if k == spm_model.NORMAL}
     rank = {p: n for n, (p, _, _) in enumerate(m.pieces)}
     found = []
     for piece, s in score.items():
-        found += [(-s, rank[piece], k, piece[:k], piece[k:]) for k in range(1, len(piece)) if piece[:k] in score and piece[k:] in score]
+        for k in range(1, len(piece)):
+            if piece[:k] in score and piece[k:] in score:
+                left, right = _overlaps(piece, k), _overlaps(piece, len(piece) - k)
+                found.append((-s, rank[piece], right - left, k, piece[:k], piece[k:]))
     return [(a, b) for *_, a, b in sorted(found)]
 
 
 def cuttable(m: spm_model.SpmModel) -> bool:
     inner = re.compile(f"[^{MARK}]{MARK}")
-    return m.model_type == spm_model.BPE and not any(inner.search(p) or "\n" in p for p, _, k in m.pieces if k == spm_model.NORMAL)
+    return m.model_type == spm_model.BPE and not any(inner.search(p) or "\n" in p[1:] for p, _, k in m.pieces if k == spm_model.NORMAL)
 
 
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, threads: int = THREADS):
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.model = spm_model.parse(data)
-        self.whole = build(self.model)
-        self.whole.encode_special_tokens = True
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
+        m = self.model = spm_model.parse(data)
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data)
-        m = self.model
-        #: The white-space rules under which a text is its words behind markers, as cut by ``words``.
-        self.by_word = cuttable(m) and m.escape_whitespaces and m.add_dummy_prefix and not m.remove_extra_whitespaces and not m.charsmap
-        self.bare = build(self.model, normalise=False) if self.by_word else None
-        if self.bare:
-            self.bare.encode_special_tokens = True
-        self.lead = len(self.exact.encode("\n"))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.lossy: set[str] = set()
-
-    def words(self, text: str) -> list[str]:
-        """Cuts a text into words. A word that starts with a line feed has no marker, one that starts with a
-        marker has all its markers, and all others have one marker that is left out."""
-        cut = text.replace("\n", " \n")
-        if "  " not in cut and MARK not in cut and not cut.startswith(" "):
-            return cut.split(" ")
-        return re.findall(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|^[^{MARK}\n]+", (MARK + text).replace(" ", MARK))
-
-    def learn(self, words: list[str]) -> None:
-        own = [w if w[:1] in ("\n", MARK) else MARK + w for w in words]
-        ours = [e.ids for e in self.bare.encode_batch_fast(own, add_special_tokens=False)]
-        # the reference puts a marker before its text; what comes behind a line feed is cut off again
-        theirs = self.exact.encode([w if w[0] == "\n" else w[1:] for w in own])
-        for k, (o, x, y) in enumerate(zip(own, ours, theirs, strict=True)):
-            if o[0] == "\n":
-                y = y[self.lead - 1 :]
-            # a lone marker cannot be asked for: the reference makes nothing of an empty text
-            if x != y and o != MARK:
-                ours[k] = y
-        back = self.whole.decode_batch(ours, skip_special_tokens=False)
-        for w, o, x, t in zip(words, own, ours, back, strict=True):
-            self.known[w] = tuple(x)
-            if t != o.replace(MARK, " ").removeprefix(" "):
-                self.lossy.add(w)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for ids, _ in self.encode_and_check(texts)]
-
-    def encode_and_check(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """The ids of each text, and whether they decode to it. Words are decoded when they are learned: a word's
-        ids hold whole characters, so the decoded text is its decoded words in a row."""
-        if not self.by_word:
-            ours = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            ids = [x if x == y else y for x, y in zip(ours, self.exact.encode(texts), strict=True)]
-            return [(np.array(x, dtype=np.int32), t == d) for x, t, d in zip(ids, texts, self.decode(ids), strict=True)]
-        out = []
-        for at in range(0, len(texts), 1000):
-            cut = [self.words(t) if t else [] for t in texts[at : at + 1000]]
-            got = [list(map(self.known.get, ws)) for ws in cut]
-            missing = {w for ws, g in zip(cut, got, strict=True) if None in g for w, x in zip(ws, g, strict=True) if x is None}
-            if missing:
-                # two generations: what is used again survives a change
-                again = missing & self.old.keys()
-                for w in again:
-                    self.known[w] = self.old[w]
-                if fresh := sorted(missing - again):
-                    self.learn(fresh)
-                get = self.known.__getitem__
-                got = [list(map(get, ws)) if None in g else g for ws, g in zip(cut, got, strict=True)]
-            for ws, g, t in zip(cut, got, texts[at : at + 1000], strict=True):
-                whole = not self.lossy or self.lossy.isdisjoint(ws) or self.decode([list(chain.from_iterable(g))]) == [t]
-                out.append((np.fromiter(chain.from_iterable(g), dtype=np.int32), whole))
-            if len(self.known) > CACHE:
-                self.old, self.known = self.known, {}
-                self.lossy &= self.old.keys()
-        return out
+        self.whole = build(m)
+        bytes_known = sum(kind == spm_model.BYTE for _, _, kind in m.pieces) == 256
+        plain_spaces = m.escape_whitespaces and m.add_dummy_prefix and not m.remove_extra_whitespaces and not m.charsmap
+        self.by_word = cuttable(m) and m.byte_fallback and bytes_known and plain_spaces
+        #: Words come with their marker.
+        self.bare = build(m, normalise=False) if self.by_word else None
+        #: The characters of each piece; None for bytes that are no character.
+        self.chars = [self._characters(p, kind) for p, _, kind in m.pieces]
+        self._forget()
+
+    @staticmethod
+    def _characters(piece: str, kind: int) -> str | None:
+        if kind == spm_model.BYTE:
+            return chr(int(piece[3:5], 16)) if int(piece[3:5], 16) < 128 else None
+        return piece if kind in (spm_model.NORMAL, spm_model.USER_DEFINED) else None
+
+    def _forget(self) -> None:
+        """No word is known: the words, the ids of all in a row, where each one's start, and which come back."""
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts, self.lossless = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _learn(self, words: list[str]) -> None:
+        sizes, flat, kept = [], [], []
+        piece = self.chars.__getitem__
+        for at in range(0, len(words), SLICE):
+            own = [w if w[:1] == "\n" else MARK + w for w in words[at : at + SLICE]]
+            ours = [e.ids for e in self.bare.encode_batch_fast(own, add_special_tokens=False)]
+            # the reference puts a marker before its text, which is cut off again where there is none
+            theirs = self.exact.encode([w if w[0] == "\n" else w[1:] for w in own])
+            for o, x, y in zip(own, ours, theirs, strict=True):
+                # a lone marker cannot be asked for: the reference makes nothing of an empty text
+                if o[0] == "\n":
+                    y = y[1:]
+                if x != y and o != MARK:
+                    x = y
+                chars = list(map(piece, x))
+                kept.append("".join(chars) == o if None not in chars else self.decode([x]) == [o.removeprefix(MARK)])
+                sizes.append(len(x))
+                flat += x
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.int32)])
+        self.lossless = np.concatenate([self.lossless, np.array(kept, bool)])
+
+    def is_plain(self, text: str) -> bool:
+        """Whether every marker of the text is a single space between its words."""
+        return self.by_word and MARK not in text and "  " not in text and text[:1] not in (" ", "\n") and " \n" not in text
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text, all ids in a row, and which texts come back."""
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        distinct, word = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(distinct, value_set=self.words)
+        if place.null_count:
+            if len(self.words) + place.null_count > WORDS:
+                self._forget()
+            else:
+                distinct_new = distinct.filter(place.is_null())
+                self._learn(distinct_new.to_pylist())
+            if not len(self.words):
+                self._learn(distinct.to_pylist())
+            place = pc.index_in(distinct, value_set=self.words)
+        row = place.to_numpy()[word]
+        size = (self.starts[1:] - self.starts[:-1])[row]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.starts[row] - ends[:-1], size) + np.arange(ends[-1])]
+        lost = np.concatenate(([0], np.cumsum(~self.lossless[row])))
+        return ends[edges[1:]] - ends[edges[:-1]], ids, lost[edges[1:]] == lost[edges[:-1]]
+
+    def encode_array(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text, all ids in a row, and which texts the ids decode to."""
+        plain = np.array([bool(t) and self.is_plain(t) for t in texts], dtype=bool)
+        sizes, back = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        at = np.flatnonzero(plain)
+        flat = np.zeros(0, np.int32)
+        if len(at):
+            sizes[at], flat, back[at] = self._by_word([texts[k] for k in at])
+        others = {}
+        rest = np.flatnonzero(~plain)
+        for part in (rest[k : k + 64] for k in range(0, len(rest), 64)):
+            own = [texts[k] for k in part]
+            ours = [e.ids for e in self.whole.encode_batch_fast(own, add_special_tokens=False)]
+            ours = [x if x == y else y for x, y in zip(ours, self.exact.encode(own), strict=True)]
+            for k, x, t in zip(part, ours, self.decode(ours), strict=True):
+                others[k], sizes[k], back[k] = x, len(x), t == texts[k]
+        if not others:
+            return sizes, flat, back
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.zeros(starts[-1], np.int32)
+        here = np.cumsum(sizes[at]) - sizes[at]
+        out[np.repeat(starts[at] - here, sizes[at]) + np.arange(len(flat))] = flat
+        for k, x in others.items():
+            out[starts[k] : starts[k] + len(x)] = x
+        return sizes, out, back
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        sizes, ids, _ = self.encode_array(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -185,14 +235,18 @@ def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: b
 
     def run(batches):
         codec = Codec(data)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
-            ids: list = [None] * len(texts)
-            same: list = [None] * len(texts)
             held = [k for k, t in enumerate(texts) if t is not None]
-            for k, (x, ok) in zip(held, codec.encode_and_check([texts[k] for k in held]), strict=True):
-                ids[k], same[k] = x, ok
-            cols, names = [b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
+            counts, flat, back = codec.encode_array([texts[k] for k in held])
+            sizes = np.zeros(len(texts) + 1, dtype=np.int64)
+            sizes[np.array(held, dtype=np.int64) + 1] = counts
+            absent = pa.array([t is None for t in texts], pa.bool_())
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat), mask=absent)
+            same: list = [None] * len(texts)
+            for k, ok in zip(held, back.tolist(), strict=True):
+                same[k] = ok
+            cols, names = [b.column(0), ids], ["doc_id", "ids"]
             if verify:
                 cols.append(pa.array(same, pa.bool_()))
                 names.append("round_trip")
@@ -209,7 +263,7 @@ def decode(rows: DataFrame, model_path: str = spm_model.DEFAULT_MODEL) -> DataFr
 
     def run(batches):
         codec = Codec(data)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(1).to_pylist()
             held = [k for k, x in enumerate(ids) if x is not None]
             texts: list = [None] * len(ids)
