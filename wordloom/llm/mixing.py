@@ -72,7 +72,8 @@ def cuts(sized: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: i
     # buckets that end at or below the goal are taken whole; the next one is cut between its rows
     c = ends.join(t.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
     c = c.groupBy("t.source", "source_size", "target", "whole", "goal").agg(
-        F.max(F.when(F.col("end") <= F.col("goal"), F.col("bucket"))).alias("last_whole"),
+        # a goal of 0 takes nothing, not even empty documents
+        F.max(F.when((F.col("end") <= F.col("goal")) & (F.col("goal") > 0), F.col("bucket"))).alias("last_whole"),
         F.min(F.when(F.col("end") > F.col("goal"), F.col("bucket"))).alias("cut_bucket"),
         F.coalesce(F.max(F.when(F.col("end") <= F.col("goal"), F.col("end"))), F.lit(0)).alias("below"),
     )
@@ -81,22 +82,27 @@ def cuts(sized: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: i
     edge = sized.join(k, sized["source"].eqNullSafe(k["s"]) & (F.col("bucket") == F.col("cut_bucket")))
     row = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("below") + F.sum("size").over(row))
-    edge = edge.filter(F.col("upto") - F.col("size") / 2 <= F.col("goal"))
+    edge = edge.filter((F.col("upto") - F.col("size") / 2 <= F.col("goal")) & (F.col("goal") > 0))
     edge = edge.groupBy("source").agg(F.max(F.struct("h", F.col("doc_id").alias("id"))).alias("last_row"))
     out = c.alias("c").join(edge.alias("x"), F.col("c.source").eqNullSafe(F.col("x.source")), "left")
     return written(out.select("c.source", "source_size", "target", "whole", "last_whole", "cut_bucket", "last_row"), "mix-cuts")
 
 
 def with_copies(docs: DataFrame, cut: DataFrame, seed: int = 13) -> DataFrame:
-    """docs(doc_id, source, ...) with source_size, target and copies. The rows stay where they are: the
-    cuts are one row per source, broadcast only if the planner finds them small."""
-    cut = cut.select(F.col("source").alias("cut_source"), *[c for c in cut.columns if c != "source"])
-    d = docs.join(cut, docs["source"].eqNullSafe(cut["cut_source"])).withColumn("h", order_hash(F.col("doc_id"), seed))
-    bucket = F.floor(F.col("h") / F.lit(_BUCKET_WIDTH)).cast("int")
-    in_edge = (bucket == F.col("cut_bucket")) & (F.struct(F.col("h"), F.col("doc_id").alias("id")) <= F.col("last_row"))
-    extra = F.coalesce(bucket <= F.col("last_whole"), F.lit(False)) | F.coalesce(in_edge, F.lit(False))
-    d = d.withColumn("copies", (F.col("whole") + extra.cast("int")).cast("int"))
-    return d.drop("cut_source", "whole", "last_whole", "cut_bucket", "last_row", "h")
+    """docs(doc_id, source, ...) with mix_source_size, mix_target and mix_copies, whatever other columns there are.
+    The rows stay where they are: the cuts are one row per source, broadcast only if the planner finds
+    them small."""
+    cut = cut.select(*[F.col(c).alias(f"mix_{c}") for c in cut.columns])
+    clash = [c for c in docs.columns if c.lower().startswith("mix_")]
+    if clash:
+        raise ValueError(f"columns that begin with mix_ are the operator's own: {clash}")
+    d = docs.join(cut, docs["source"].eqNullSafe(cut["mix_source"])).withColumn("mix_h", order_hash(F.col("doc_id"), seed))
+    bucket = F.floor(F.col("mix_h") / F.lit(_BUCKET_WIDTH)).cast("int")
+    last = F.col("mix_last_row")
+    in_edge = (bucket == F.col("mix_cut_bucket")) & (F.struct(F.col("mix_h").alias("h"), F.col("doc_id").alias("id")) <= last)
+    extra = F.coalesce(bucket <= F.col("mix_last_whole"), F.lit(False)) | F.coalesce(in_edge, F.lit(False))
+    d = d.withColumn("mix_copies", (F.col("mix_whole") + extra.cast("int")).cast("int"))
+    return d.select(*docs.columns, "mix_source_size", "mix_target", "mix_copies")
 
 
 def sizes(docs: DataFrame, seed: int) -> DataFrame:
@@ -108,7 +114,8 @@ def sizes(docs: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 13, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, copies (0 to max_epochs)."""
     sized = sizes(docs, seed)
-    return with_copies(sized.drop("h"), cuts(sized, weights, budget, max_epochs), seed)
+    d = with_copies(sized.drop("h"), cuts(sized, weights, budget, max_epochs), seed)
+    return d.withColumnsRenamed({f"mix_{c}": c for c in ("source_size", "target", "copies")})
 
 
 def op6_mix(spark, sf_dir) -> DataFrame:
@@ -118,8 +125,8 @@ def op6_mix(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, seed: int = 13) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    picked = with_copies(docs, cuts(sizes(docs, seed)), seed).filter("copies > 0")
-    return picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    picked = with_copies(docs, cuts(sizes(docs, seed)), seed).filter("mix_copies > 0")
+    return picked.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 
 #: The result of op6_mix in DuckDB's SQL.
