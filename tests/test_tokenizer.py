@@ -216,7 +216,20 @@ def test_normalizer_as_udf(spark):
     tok = Tokenizer.from_dict(root)
     assert x.select(tok.tokenize(F.col("text")).alias("t")).first()["t"] == tok.encode_by_join(x, "id").first()["tokens"]
     marked = Tokenizer.from_dict({**root, "added_tokens": [{"content": "<x>", "id": 999}]})
-    assert marked.encode_by_join(spark.createDataFrame([(1, "in<x>ﬁ")], "id int, text string"), "id").first()["tokens"] == ["in", "<x>", "f", "i"]
+    y = spark.createDataFrame([(1, "in<x>ﬁ ﬀ"), (2, ""), (3, None), (4, "<x><x>"), (5, "in")], "id int, text string")
+    want = {1: ["in", "<x>", "f", "i", "f", "f"], 2: [], 3: None, 4: ["<x>", "<x>"], 5: ["in"]}
+    assert {r["id"]: r["tokens"] for r in marked.encode_by_join(y, "id").collect()} == want
+    assert {r["id"]: r["t"] for r in y.select("id", marked.tokenize(F.col("text")).alias("t")).collect()} == want
+
+
+def test_patterns_that_match_nothing(spark):
+    y = spark.createDataFrame([(1, "thexxin<x>th"), (2, ""), (3, None)], "id int, text string")
+    for more in ({}, {"normalizer": {"type": "NFKC"}}):
+        root = {**fixtures.bpe(), "pre_tokenizer": {"type": "Split", "pattern": {"Regex": "x*"}}, "added_tokens": [{"content": "<x>", "id": 999}], **more}
+        tok = Tokenizer.from_dict(root)
+        want = {1: ["the", "x", "x", "in", "<x>", "th"], 2: [], 3: None}
+        assert {r["id"]: r["t"] for r in y.select("id", tok.tokenize(F.col("text")).alias("t")).collect()} == want
+        assert {r["id"]: r["tokens"] for r in tok.encode_by_join(y, "id").collect()} == want
 
 
 def test_data_source_and_sql_functions(spark, tmp_path):

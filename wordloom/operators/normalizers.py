@@ -15,12 +15,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import replace_literal, unicode_pattern
 from ..sources import settings as s
-
-Stage = Callable[[Column], Column]
+from .stage import Stage, chain
 
 #: The ideographs that get spaces around them.
 CJK = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}"
@@ -29,29 +28,37 @@ BLANK = "[\\p{Zs}\\t\\n-\\r\\x{85}\\x{2028}\\x{2029}]"
 ASCII = "^[\\x00-\\x7F]*$"
 
 
-def elementwise(fn: Callable[[str], str]):
-    """An Arrow UDF that maps each string of a batch."""
+def in_python(fn: Callable[[str], str], skip_ascii: bool = True) -> Stage:
+    """A stage by Arrow UDFs; rows of plain ASCII skip them if it leaves such texts as they are."""
 
     @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else fn(t) for t in texts.to_pylist()], pa.string())
 
-    return run
+    @F.arrow_udf(ArrayType(StringType()))
+    def run_each(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else [None if t is None else fn(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.string()))
+
+    if not skip_ascii:
+        return Stage(run, run_each)
+    return Stage(
+        lambda c: F.when(c.rlike(ASCII), c).otherwise(run(c)),
+        lambda a: F.when(F.array_join(a, "").rlike(ASCII), a).otherwise(run_each(a)),
+    )
 
 
 def _form(name: str) -> Stage:
-    udf = elementwise(lambda t: unicodedata.normalize(name, t))
-    return lambda c: F.when(c.rlike(ASCII), c).otherwise(udf(c))
+    return in_python(lambda t: unicodedata.normalize(name, t))
 
 
 nfd, nfc, nfkd, nfkc = map(_form, ("NFD", "NFC", "NFKD", "NFKC"))
 
 
-def prepend(text: str) -> Stage:
+def prepend(text: str):
     return lambda c: F.concat(F.lit(text), c)
 
 
-def replace(config: dict) -> Stage:
+def replace(config: dict):
     pattern, new = s.section(config, "pattern") or {}, s.text(config, "content")
     if new is None:
         return lambda c: c
@@ -62,7 +69,7 @@ def replace(config: dict) -> Stage:
     return lambda c: c
 
 
-def strip(left: bool = True, right: bool = True) -> Stage:
+def strip(left: bool = True, right: bool = True):
     def run(c: Column) -> Column:
         c = F.regexp_replace(c, f"^{BLANK}+", "") if left else c
         return F.regexp_replace(c, f"{BLANK}+\\z", "") if right else c
@@ -80,23 +87,13 @@ def space_ideographs(c: Column) -> Column:
     return F.regexp_replace(c, f"([{CJK}])", " $1 ")
 
 
-def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(nfd(c), "\\p{Mn}", "")
+strip_accents = chain([nfd, lambda c: F.regexp_replace(c, "\\p{Mn}", "")])
 
 
 def bert(clean: bool = True, ideographs: bool = True, accents: bool | None = None, lower: bool = True) -> Stage:
     accents = lower if accents is None else accents
     steps = [fn for fn, on in ((clean_text, clean), (space_ideographs, ideographs), (strip_accents, accents), (F.lower, lower)) if on]
-    return sequence(steps)
-
-
-def sequence(stages: list[Stage]) -> Stage:
-    def run(c: Column) -> Column:
-        for stage in stages:
-            c = stage(c)
-        return c
-
-    return run
+    return chain(steps)
 
 
 class CharacterMap:
@@ -166,29 +163,36 @@ def mapped(entries: dict[bytes, str]) -> Callable[[str], str]:
     return run
 
 
-def unmapped(c: Column) -> Column:
-    """What is done without a character map: controls go, separators become spaces, compatibility form but for
-    the full-width tilde."""
+_TILDE = "\uff5e"
+
+
+def _separators(c: Column) -> Column:
     c = F.regexp_replace(c, "[\\x01-\\x08\\x0B\\x0E-\\x1F\\x7F\\x{8F}\\x{9F}]", "")
-    c = F.regexp_replace(c, "[\\t\\n\\f\\r\\x{1680}\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{2581}\\x{FEFF}\\x{FFFD}]", " ")
-    tilde = "\uff5e"
-    udf = elementwise(lambda t: tilde.join(unicodedata.normalize("NFKC", p) for p in t.split(tilde)))
-    return F.when(c.rlike(ASCII), c).otherwise(udf(c))
+    return F.regexp_replace(c, "[\\t\\n\\f\\r\\x{1680}\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{2581}\\x{FEFF}\\x{FFFD}]", " ")
+
+
+#: What is done without a character map: controls go, separators become spaces, compatibility form but for the
+#: full-width tilde.
+unmapped = chain([_separators, in_python(lambda t: _TILDE.join(unicodedata.normalize("NFKC", p) for p in t.split(_TILDE)))])
 
 
 def precompiled(config: dict) -> Stage:
     found = CharacterMap.read(s.text(config, "precompiled_charsmap"))
     if found is None:
         return unmapped
-    udf = elementwise(mapped(found.entries()))
-    return lambda c: udf(c)
+    return in_python(mapped(found.entries()), skip_ascii=False)
 
 
 def build(config: dict | None) -> Stage | None:
     """The stage of a configuration; None (no change) for an unknown type."""
+    found = _build(config)
+    return None if found is None else Stage.of(found)
+
+
+def _build(config: dict | None):
     kind = s.text(config, "type")
     if kind == "Sequence":
-        return sequence([x for x in map(build, s.items(config, "normalizers", [])) if x])
+        return chain([x for x in map(build, s.items(config, "normalizers", [])) if x])
     if kind == "Prepend":
         return prepend(s.text(config, "prepend", ""))
     if kind == "Replace":
@@ -205,4 +209,4 @@ def build(config: dict | None) -> Stage | None:
 
 
 #: Stages of callers, by type.
-REGISTERED: dict[str, Stage] = {}
+REGISTERED: dict[str, Callable[[Column], Column]] = {}

@@ -12,8 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import byte_level, find_all, replace_literal, unicode_pattern
 from ..sources import settings as s
-
-Stage = Callable[[Column], Column]
+from .stage import Stage
 
 #: Unicode punctuation and all ASCII symbols.
 MARKS = "\\p{P}!-/:-@\\[-`{-~"
@@ -35,11 +34,11 @@ def punctuation(c: Column) -> Column:
     return find_all(c, f"[^{MARKS}]+|[{MARKS}]+")
 
 
-def digits(individual: bool = False) -> Stage:
+def digits(individual: bool = False):
     return lambda c: find_all(c, "[^\\d]+|\\d" if individual else "[^\\d]+|\\d+")
 
 
-def metaspace(replacement: str = " ", written: str | None = None, scheme: str = "always", first: bool = True) -> Stage:
+def metaspace(replacement: str = " ", written: str | None = None, scheme: str = "always", first: bool = True):
     """Spaces become ``written``; the text is cut before each ``replacement``."""
     written = replacement if written is None else written
 
@@ -53,7 +52,7 @@ def metaspace(replacement: str = " ", written: str | None = None, scheme: str =
     return run
 
 
-def byte_level_words(add_prefix_space: bool = False, use_regex: bool = True) -> Stage:
+def byte_level_words(add_prefix_space: bool = False, use_regex: bool = True):
     def spaced(c: Column) -> Column:
         return F.when(c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c)) if add_prefix_space else c
 
@@ -75,23 +74,29 @@ def split_regex(pattern: str) -> Stage:
         # a pattern that can match nothing would cut everywhere; such matches do not count
         compiled = regex.compile(pattern)
 
+        def parts(t: str | None) -> list[str] | None:
+            if t is None:
+                return None
+            out, at = [], 0
+            for m in compiled.finditer(t):
+                if m.end() > m.start():
+                    out += [t[at : m.start()], m[0]]
+                    at = m.end()
+            return [p for p in [*out, t[at:]] if p]
+
         @F.arrow_udf(ArrayType(StringType()))
         def cut(texts: pa.Array) -> pa.Array:
-            out = []
-            for t in texts.to_pylist():
-                parts, at = [], 0
-                for m in compiled.finditer(t or ""):
-                    if m.end() > m.start():
-                        parts += [t[at : m.start()], m[0]]
-                        at = m.end()
-                out.append(None if t is None else [p for p in [*parts, t[at:]] if p])
-            return pa.array(out, pa.list_(pa.string()))
+            return pa.array([parts(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+        @F.arrow_udf(ArrayType(ArrayType(StringType())))
+        def cut_each(rows: pa.Array) -> pa.Array:
+            return pa.array([None if r is None else [parts(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
 
-        return lambda c: cut(c)
-    return lambda c: _filled(F.split(F.regexp_replace(c, f"{unicode_pattern('')}({pattern})", f"{CUT}$1{CUT}"), CUT))
+        return Stage(cut, cut_each)
+    return Stage(lambda c: _filled(F.split(F.regexp_replace(c, f"{unicode_pattern('')}({pattern})", f"{CUT}$1{CUT}"), CUT)))
 
 
-def split_string(separator: str, invert: bool = False) -> Stage:
+def split_string(separator: str, invert: bool = False):
     """A literal separator and what lies between; ``invert`` drops the separators."""
     around = CUT if invert else CUT + separator + CUT
 
@@ -102,18 +107,31 @@ def split_string(separator: str, invert: bool = False) -> Stage:
     return run
 
 
-def sequence(stages: list[Stage]) -> Stage:
-    def run(c: Column) -> Column:
+def sequence(stages) -> Stage:
+    stages = [Stage.of(x) for x in stages]
+
+    def one(c: Column) -> Column:
         words = F.array(c)
         for stage in stages:
-            words = F.flatten(F.transform(words, stage))
+            words = F.flatten(stage.each(words))
         return words
 
-    return run
+    if all(stage.native for stage in stages):
+        return Stage(one)
+
+    def each(a: Column) -> Column:
+        raise ValueError("a sequence with a pattern that matches nothing needs encode_by_join beside added tokens")
+
+    return Stage(one, each)
 
 
 def build(config: dict | None, first: bool = True) -> Stage | None:
     """The stage of a configuration; None (the whole text is one word) for an unknown type."""
+    found = _build(config, first)
+    return None if found is None else Stage.of(found)
+
+
+def _build(config: dict | None, first: bool):
     kind = s.text(config, "type")
     if kind == "Sequence":
         return sequence([x for x in (build(c, first) for c in s.items(config, "pretokenizers", [])) if x])
@@ -140,4 +158,4 @@ def build(config: dict | None, first: bool = True) -> Stage | None:
 
 
 #: Stages of callers, by type.
-REGISTERED: dict[str, Stage] = {}
+REGISTERED: dict[str, Callable[[Column], Column]] = {}

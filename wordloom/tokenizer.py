@@ -56,21 +56,30 @@ class Tokenizer:
     # --- words: texts cut into segments, normalized and pre-tokenized ---
 
     def words(self, c: Column) -> Column:
-        """array<struct<words, is_added>> of a text, one for each segment. Only where all stages are expressions."""
-        # no lambda within a lambda may use the outer one's variable: Spark does not evaluate UDFs of such arrays
-        return F.transform(segment(c, self.definition.markers), lambda s: F.struct(self._cut(s["piece"], s["is_added"]).alias("words"), s["is_added"].alias("is_added")))
+        """array<struct<words, is_added>> of a text, one for each segment."""
+        segs = segment(c, self.definition.markers)
+        pieces = F.transform(segs, lambda s: s["piece"])
+        if self._native():
+            # no lambda within a lambda may use the outer one's variable: Spark does not evaluate UDFs of such arrays
+            return F.transform(segs, lambda s: F.struct(self._cut(s["piece"], s["is_added"]).alias("words"), s["is_added"].alias("is_added")))
+        normal = self.normalize.each(pieces) if self.normalize else pieces
+        if self.pre_tokenize is None:
+            cut = F.transform(normal, F.array)
+        else:
+            cut = self.pre_tokenize.each(normal) if self.definition.markers or self.pre_tokenize.native else F.array(self.pre_tokenize(F.get(normal, F.lit(0))))
+        # markers stay as they are, and an empty text has no word
+        kept = F.zip_with(segs, cut, lambda s, w: F.when(s["is_added"], F.array(s["piece"])).when(s["piece"] == "", F.array().cast("array<string>")).otherwise(w))
+        return F.zip_with(segs, kept, lambda s, w: F.struct(w.alias("words"), s["is_added"].alias("is_added")))
+
+    def _native(self) -> bool:
+        """Whether all stages before the kernel are expressions."""
+        return all(stage is None or stage.native for stage in (self.normalize, self.pre_tokenize))
 
     def _cut(self, piece: Column, is_added: Column) -> Column:
         own = self.normalize(piece) if self.normalize else piece
         words = self.pre_tokenize(own) if self.pre_tokenize else F.array(own)
         return F.when(is_added, F.array(piece)).when(piece == "", F.array().cast("array<string>")).otherwise(words)
 
-    def _uses_udf(self) -> bool:
-        """Whether a stage before the kernel is a UDF, which no expression over array elements can hold."""
-        probe = str(self.normalize(F.lit("x"))) if self.normalize else ""
-        probe += str(self.pre_tokenize(F.lit("x"))) if self.pre_tokenize else ""
-        return "run(" in probe or "cut(" in probe
-
     def word_rows(self, df: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
         """df -> keys, word_pos, word, is_added: a row for each word; word_pos orders the words of a text."""
         segs = df.select(*keys, F.posexplode(segment(F.col(text), self.definition.markers)).alias("seg_pos", "s"))
@@ -82,17 +91,9 @@ class Tokenizer:
 
     def tokenize(self, c: Column, add_special_tokens: bool = True) -> Column:
         """array<string>: the tokens of a text; null for null."""
-        words = self._word_arrays(c)
+        words = self.words(c)
         return F.when(c.isNull(), F.lit(None)).otherwise(self.post_process(_kernel(self.definition)(words), None, add_special_tokens))
 
-    def _word_arrays(self, c: Column) -> Column:
-        """array<struct<words, is_added>>, by a UDF for those stages that need one."""
-        if not self._uses_udf():
-            return self.words(c)
-        if self.definition.markers:
-            raise ValueError("added tokens together with a normalizer that is a UDF need encode_by_join")
-        return F.array(F.struct(self._cut(c, F.lit(False)).alias("words"), F.lit(False).alias("is_added")))
-
     def ids_of(self, tokens: Column) -> Column:
         return _lookup(self.definition)(tokens)
 
