@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of sessions that name none (tests).
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a local one only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="wordloom-")
+        _own[app] = where
     return where.rstrip("/")
 
 
@@ -42,7 +50,25 @@ def words_in(col) -> "F.Column":
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches in smaller pieces, so that what a worker makes of one at a time stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """Arrow batches in smaller pieces, so that what a worker makes of one at a time stays small.
+
+    Workers outlive their tasks, and what their allocators keep counts against later stages: Arrow allocates
+    from the system here, and free memory goes back after each batch.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+            b = None
+            give_back()
+    finally:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

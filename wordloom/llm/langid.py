@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spm_model
-from .common import table, written
+from .common import slices, table, written
 
 #: Documents of a language that its model is fitted on.
 MAX_DOCS = 2000
@@ -34,7 +34,7 @@ ITERATIONS = 3
 #: Added to the expected count of each piece, so that none is impossible.
 SMOOTHING = 0.05
 #: Scored tokens of one generation that a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 MARK = "▁"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _EDGES = ".,;:!?()[]{}\"'#*$%&|<>-_=+0123456789"
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
     sample = train.filter(unit < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(w for t in text.lower().split() for w in words_of(t))
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
     for _ in range(iterations):
 
         def expect(batches, probs=probs):
-            for b in batches:
+            for b in slices(batches):
                 rows: dict[str, list] = {}
                 for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     rows.setdefault(lang, []).append((w, n))
@@ -268,7 +268,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             p = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in p], pa.string()), pa.array([x for _, x in p], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -285,7 +285,7 @@ def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     model = fit(docs)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = [lang != "und" and score >= least for lang, score in model.predict(b.column("text").to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 SEED = 42
 SHINGLE = 4
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """docs(doc_id, text) -> doc_id, fp (the fingerprint as a long)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -234,7 +234,7 @@ def edges(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, m
             x, y = c[moved].astype(np.int64), c[label[moved]].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches, 10_000):
             if not batch.num_rows:
                 continue
             roots.append(batch.column("root").to_numpy())
@@ -296,10 +296,18 @@ def op7_simhash(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest doc_id stays. Rows that repeat a doc_id
-    are one document."""
-    g = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    g = written(g.groupBy(F.col("doc_id").alias("kept_id")).count(), "simhash-kept")
-    kept = docs.join(g.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    if not g.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    are one document; a doc_id that stays for one of its texts stays.
+
+    The texts are joined with what goes, which is far less than what stays: while it is small it is broadcast, and no
+    text moves.
+    """
+    g = groups(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = written(g.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-ids")
+    goes = written(ids.filter("NOT stays").select(F.col("doc_id").alias("gone_id")), "simhash-gone")
+    twice = written(ids.filter("stays AND n > 1").select(F.col("doc_id").alias("twice_id")), "simhash-twice")
+    kept = docs.join(goes, docs["doc_id"].eqNullSafe(goes["gone_id"]), "left_anti")
+    if not twice.isEmpty():
+        again = kept["doc_id"].eqNullSafe(twice["twice_id"])
+        once = kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(twice, again, "left_anti").unionByName(once)
     return kept.select(*docs.columns)

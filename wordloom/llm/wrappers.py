@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 #: Parts that one host's wrappers are merged in first.
 SALTS = 64
@@ -356,7 +356,7 @@ def infer(pages: DataFrame) -> DataFrame:
     """pages(url, html) -> host, wrapper (JSON), expression, main (JSON list of the slots of the main text)."""
 
     def learn(batches):
-        for b in batches:
+        for b in slices(batches):
             own: dict[str, Wrapper] = {}
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own.setdefault(h, Wrapper()).add_page(page)
@@ -396,7 +396,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         slots_of: dict = {}
-        for b in batches:
+        for b in slices(batches):
             out = []
             for page, main in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if main not in slots_of:
