@@ -332,9 +332,9 @@ def test_warc_files_are_plain_warc(spark, tmp_path):
     found = list(warc.records(data))
     assert [h["warc-type"] for h, _ in found] == ["revisit", "response"] and found[0][0]["warc-refers-to"] == found[1][0]["warc-record-id"]
     assert found[1][1].endswith(("<p>é</p>" * 200).encode()) and data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
-    broken = data.replace(b"Content-Length: 1", b"Content-Length: 2", 1)
-    with pytest.raises(ValueError):
-        list(warc.records(broken))
+    for broken in (data[:-6], data.replace(b"WARC/1.1", b"WARX/1.1", 1)):
+        with pytest.raises(ValueError):
+            list(warc.records(broken))
 
 
 def test_pipeline(spark, documents):
