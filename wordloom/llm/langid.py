@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spm_model
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 
 #: Documents of a language that its model is fitted on.
 MAX_DOCS = 2000
@@ -34,7 +34,7 @@ ITERATIONS = 3
 #: Added to the expected count of each piece, so that none is impossible.
 SMOOTHING = 0.05
 #: Scored tokens of one generation that a worker keeps.
-CACHE = 150_000
+CACHE = 100_000
 MARK = "▁"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _EDGES = ".,;:!?()[]{}\"'#*$%&|<>-_=+0123456789"
@@ -185,11 +185,11 @@ class LanguageModel:
         out = []
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        for at in range(0, len(texts), 1000):
+        for at in range(0, len(texts), 500):
             if len(self.place) > CACHE:
                 self.old = (self.place, self.scores)
                 self.place, self.scores = {}, np.zeros((0, len(self.langs)))
-            cut = [t.lower().split() if t else [] for t in texts[at : at + 1000]]
+            cut = [t.lower().split() if t else [] for t in texts[at : at + 500]]
             got = [list(map(self.place.get, ws)) for ws in cut]
             missing = {w for ws, g in zip(cut, got, strict=True) if None in g for w, x in zip(ws, g, strict=True) if x is None}
             if missing:
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
     sample = train.filter(unit < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches):
-        for b in slices(batches):
+        for b in slices(batches, 500):
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(w for t in text.lower().split() for w in words_of(t))
@@ -243,15 +243,25 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
     for _ in range(iterations):
 
         def expect(batches, probs=probs):
+            # one sum per language and task, as large as the vocabulary
+            sums: dict[str, np.ndarray] = {}
+            held: dict[str, list] = {}
+
+            def add(lang: str) -> None:
+                w, n = zip(*held.pop(lang), strict=True)
+                e = expected_counts(vocab, probs[lang], list(w), np.array(n, dtype=float))
+                sums[lang] = sums.get(lang, 0.0) + e
+
             for b in slices(batches):
-                rows: dict[str, list] = {}
                 for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    rows.setdefault(lang, []).append((w, n))
-                for lang, pairs in rows.items():
-                    w, n = zip(*pairs, strict=True)
-                    e = expected_counts(vocab, probs[lang], list(w), np.array(n, dtype=float))
-                    used = np.flatnonzero(e)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(e[used])], names=["lang", "piece", "uses"])
+                    held.setdefault(lang, []).append((w, n))
+                for lang in [k for k, rows in held.items() if len(rows) >= 10_000]:
+                    add(lang)
+            for lang in list(held):
+                add(lang)
+            for lang, e in sums.items():
+                used = np.flatnonzero(e)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(e[used])], names=["lang", "piece", "uses"])
 
         # summed as decimals, so that the order of the tasks changes nothing
         uses = counts.mapInArrow(expect, "lang string, piece long, uses double").groupBy("lang", "piece")
@@ -268,7 +278,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, 500):
             p = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in p], pa.string()), pa.array([x for _, x in p], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -282,10 +292,11 @@ def op10_langid(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents in no language, or in none with a posterior of ``least``, go."""
+    small_batches(spark)
     model = fit(docs)
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, 500):
             keep = [lang != "und" and score >= least for lang, score in model.predict(b.column("text").to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 

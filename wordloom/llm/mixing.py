@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, words_in, written
+from .common import small_batches, table, words_in, written
 
 #: Hash buckets of a source: the boundary of its fraction lies in one of them.
 BUCKETS = 4096
@@ -125,6 +125,7 @@ def op6_mix(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, seed: int = 13) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
+    small_batches(spark)
     picked = with_copies(docs, cuts(sizes(docs, seed)), seed).filter("mix_copies > 0")
     return picked.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 #: Only for tests and the registered query; callers pass their own secret.
 DEMO_KEY = b"wordloom demonstration key"
@@ -316,5 +316,6 @@ def op3_pii(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts with pseudonyms; n_chars follows, in case a replaced value has another length."""
+    small_batches(spark)
     d = pseudonymize(docs)
     return d.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 
 SEED = 42
 SHINGLE = 4
@@ -301,6 +301,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     The texts are joined with what goes, which is far less than what stays: while it is small it is broadcast, and no
     text moves.
     """
+    small_batches(spark)
     g = groups(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = written(g.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-ids")
     goes = written(ids.filter("NOT stays").select(F.col("doc_id").alias("gone_id")), "simhash-gone")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spm_model
-from .common import slices, table
+from .common import slices, small_batches, table
 
 MARK = "▁"
 #: Words or texts that are encoded in one call: an encoding is far larger than its ids.
@@ -38,7 +38,7 @@ SLICE = 2048
 #: Threads of a worker; each keeps memory of its own.
 THREADS = 2
 #: Words that a worker remembers.
-WORDS = 1_000_000
+WORDS = 500_000
 
 
 def build(m: spm_model.SpmModel, normalise: bool = True):
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: b
 
     def run(batches):
         codec = Codec(data)
-        for b in slices(batches):
+        for b in slices(batches, 500):
             texts = b.column(1).to_pylist()
             held = [k for k, t in enumerate(texts) if t is not None]
             counts, flat, back = codec.encode_array([texts[k] for k in held])
@@ -281,5 +281,6 @@ def op8_spm(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the ids of every document, and whether they decode to its text."""
+    small_batches(spark)
     e = encode(docs, verify=True)
     return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
