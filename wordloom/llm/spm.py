@@ -38,7 +38,7 @@ SLICE = 2048
 #: Threads of a worker; each keeps memory of its own.
 THREADS = 2
 #: Words that a worker remembers.
-WORDS = 500_000
+WORDS = 1_000_000
 
 
 def build(m: spm_model.SpmModel, normalise: bool = True):
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: b
 
     def run(batches):
         codec = Codec(data)
-        for b in slices(batches, 500):
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             held = [k for k, t in enumerate(texts) if t is not None]
             counts, flat, back = codec.encode_array([texts[k] for k in held])
