@@ -18,10 +18,11 @@ def queries():
         "op7_simhash": simhash.op7_simhash,
         "op8_spm": spm.op8_spm,
         "op9_licenses": licenses.op9_licenses,
+        "op9_licenses_all_terms": licenses.op9_licenses_all_terms,
         "op10_langid": langid.op10_langid,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE, "op9_licenses_all_terms": licenses.ORACLE_ALL_TERMS}

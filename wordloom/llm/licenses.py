@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and license files to templates, then inheritance by directory.
 
 Terms are runs of the letters and digits a-z0-9 of the lower-cased text. The document frequency of every term of the
-templates is counted over all files; other terms count as seen in none. A unit is a line, or a whole file; its
+candidate units and of the templates is counted over all files (``all_terms=False``: of the templates only, other
+terms count as seen in none; the registered op9_licenses is held to that by its SQL). A unit is a line, or a whole file; its
 cosine to a template is the product of their TF-IDF vectors over the product of their lengths. A file's own
 license is the template nearest to any of its units at ``threshold`` or above. A file whose whole text reaches
 the threshold is a license file, and its license holds for its directory: a file without its own inherits
@@ -99,6 +100,12 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
     return rows.get("", 0), {t: rows.get(t, 0) for t in vocabulary}
 
 
+def corpus_frequencies(files: DataFrame) -> DataFrame:
+    """term -> number of files that hold it; the empty term stands for every file."""
+    held = files.select(F.explode(F.array_union(F.array(F.lit("")), _terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    return held.groupBy("term").count()
+
+
 def key_terms(counts: dict[str, int], idf: dict[str, float], threshold: float) -> set[str]:
     """Terms of a template one of which every unit at the threshold must hold."""
     weights = sorted(((n * idf[t], t) for t, n in counts.items()), key=lambda x: (-x[0], x[1]))
@@ -113,19 +120,27 @@ def key_terms(counts: dict[str, int], idf: dict[str, float], threshold: float) -
     return out
 
 
-def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def own_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, all_terms: bool = True) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, path, license, score, license_file, for files with a license."""
     spark = files.sparkSession
     every = template_table(templates)
     vocabulary = sorted({t for _, _, c in every for t in c})
-    n, df = document_frequencies(files, vocabulary)
+    if all_terms:
+        counted = written(corpus_frequencies(files), "license-frequencies")
+        df = {r["term"]: r["count"] for r in counted.filter(F.col("term").isin("", *vocabulary)).collect()}
+        n, df = df.get("", 0), {t: df.get(t, 0) for t in vocabulary}
+    else:
+        n, df = document_frequencies(files, vocabulary)
     idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary}
     unseen = math.log(1 + n) + 1
     # the templates are a parameter of fixed size, so these tables are too
     norms = {k: math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items())) for _, k, counts in every}
     template = [(name, k, t, float(c * idf[t] / norms[k])) for name, k, counts in every for t, c in counts.items()]
     template = spark.createDataFrame(template, "license string, number int, term string, weight double")
-    idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    if all_terms:
+        idfs = counted.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("count"))) + 1).alias("idf"))
+    else:
+        idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
     keys = sorted(set().union(*(key_terms(c, idf, threshold) for _, _, c in every)))
     key = "(?i)(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
 
@@ -166,9 +181,9 @@ def inherited_licenses(files: DataFrame, own: DataFrame) -> DataFrame:
     return near.select("dir", "near.inherited", F.col("near.above").alias("inherited_from"))
 
 
-def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, all_terms: bool = True) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, path, license, score, license_file, inherited, inherited_from."""
-    own = written(own_licenses(files, templates, threshold), "license-own")
+    own = written(own_licenses(files, templates, threshold, all_terms), "license-own")
     near = written(inherited_licenses(files, own), "license-near")
     o = own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), "license", "score", "license_file")
     f = files.select("doc_id", "path", directory(F.col("path")).alias("own_dir"))
@@ -181,12 +196,22 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     )
 
 
-def op9_licenses(spark, sf_dir) -> DataFrame:
+def _files(spark, sf_dir) -> DataFrame:
     """Documents have no paths, so each gets one: its source, a shard of 1024 ids, its own name."""
     docs = table(spark, sf_dir, "documents")
     shard = F.floor(F.col("doc_id") / 1024).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), shard, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan(docs.select("doc_id", path.alias("path"), "text"))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op9_licenses(spark, sf_dir) -> DataFrame:
+    """As its SQL has it: only the templates' terms have a document frequency."""
+    return scan(_files(spark, sf_dir), all_terms=False)
+
+
+def op9_licenses_all_terms(spark, sf_dir) -> DataFrame:
+    """The same with the document frequencies of all terms."""
+    return scan(_files(spark, sf_dir))
 
 
 def _oracle() -> str:
@@ -219,3 +244,6 @@ FROM f LEFT JOIN o USING (doc_id, path) LEFT JOIN g ON f.dir = g.dir
 
 #: The result of op9_licenses in DuckDB's SQL.
 ORACLE = _oracle()
+
+#: The result of op9_licenses_all_terms: the same, with the document frequencies of all terms.
+ORACLE_ALL_TERMS = ORACLE.replace("FROM (SELECT DISTINCT term FROM t) v", "FROM (SELECT term FROM t UNION SELECT term FROM w) v")
