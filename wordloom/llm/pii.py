@@ -11,7 +11,7 @@ different, and the key holder can invert it. What fails validation is left as it
     card    all digits but the check digit, which is computed anew (Luhn)
     iban    the account part, each character within its class; check digits are computed anew
     ssn     area, group and serial number
-    date    the day within its century
+    date    the day within its century; a part of one digit stays one, and a time behind a T stays
     secret  hexadecimal, base 64 or other characters of a quoted value behind a name such as token or password
 
 A value is brought to one form first (separators removed, one case), so the same number written in two ways
@@ -183,6 +183,18 @@ def iban(value: str, key: bytes, inverse: bool = False) -> str | None:
     return _put_back(value, s[:2] + f"{98 - number(body + s[:2] + '00') % 97:02d}" + body)
 
 
+#: Letters and digits of the numbers of each country.
+_IBAN_SIZES = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in codes.split()
+}
+
+
 def ssn(value: str, key: bytes, inverse: bool = False) -> str | None:
     valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
     d = _digits(value)
@@ -207,6 +219,7 @@ def day(value: str, key: bytes, inverse: bool = False) -> str | None:
         when = date(int(y), int(m), int(d))
     except ValueError:
         return None
+    fits = lambda n: (len(m) == 2 or n.month < 10) and (len(d) == 2 or n.day < 10)
     first = date(when.year // 100 * 100 or 1, 1, 1)
     days = (date(min(9999, when.year // 100 * 100 + 99), 12, 31) - first).days + 1
     x = (when - first).days
@@ -214,9 +227,10 @@ def day(value: str, key: bytes, inverse: bool = False) -> str | None:
         x = feistel(x, days, key, f"date:{first.year}", inverse)
         new = date.fromordinal(first.toordinal() + x)
         # a day above 12 tells the order of day and month, so it has to stay above (or not)
-        if order == "ymd" or (new.day > 12) == (when.day > 12):
+        # and a part written with one digit has to have one digit again, so the permuted days are those of its form
+        if (order == "ymd" or (new.day > 12) == (when.day > 12)) and fits(new):
             break
-    parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(m)}d}", "d": f"{new.day:0{len(d)}d}"}
     return sep.join(parts[k] for k in order)
 
 
@@ -234,7 +248,7 @@ _FOUND = re.compile(
       (?P<secret_name>\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)["']?\s*[:=]\s*["'])(?P<secret>[^\s"']{6,})(?=["'])
     | (?<![\w.%+-])(?P<email>[\w.%+-]{1,64}@(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})(?![a-z0-9-]*@)
     | (?<![0-9.])(?P<ipv4>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])
-    | (?<![\w/.-])(?P<date>(?:[0-9]{4}(?P<ds>[-/.])[0-9]{2}(?P=ds)[0-9]{2})|(?:[0-9]{2}(?P<dt>[-/.])[0-9]{2}(?P=dt)[0-9]{4}))(?![\w/-]|\.[0-9])
+    | (?<![\w/.-])(?P<date>(?:[0-9]{4}(?P<ds>[-/.])[0-9]{1,2}(?P=ds)[0-9]{1,2})|(?:[0-9]{1,2}(?P<dt>[-/.])[0-9]{1,2}(?P=dt)[0-9]{4}))(?:(?=T[0-9]{2}(?::?[0-9]{2}|(?![\w])))|(?![\w/-]|\.[0-9]))
     | (?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
     | (?<![\w])(?P<iban>[a-z]{2}[0-9]{2}(?:\ ?[a-z0-9]{4}){2,7}(?:\ ?[a-z0-9]{1,3})?)(?!\w)
     | (?<![\w.+-])(?P<card>[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![\w-]|\.[0-9])
@@ -259,6 +273,14 @@ class Pseudonymizer:
             self.known[at] = _WORKERS[kind](found, self.key, self.inverse)
         return self.known[at]
 
+    def iban(self, text: str, start: int, end: int) -> tuple[str | None, int]:
+        """The new value and its end: the pattern may have taken words that follow the number, so the part of its
+        country's length comes first, then the whole match, then its parts up to a blank, the longest first."""
+        ends = [end] + [k for k in range(end - 1, start, -1) if text[k] == " "]
+        size = _IBAN_SIZES.get(text[start : start + 2].upper())
+        ends.sort(key=lambda k: k - start - text.count(" ", start, k) != size)
+        return next(((new, k) for k in ends if (new := self.value("iban", text[start:k])) is not None), (None, end))
+
     def text(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The new text, and (start, end, kind) of each value in the old one."""
         if not text or not _MAYBE.search(text):
@@ -267,7 +289,10 @@ class Pseudonymizer:
         while m := _FOUND.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
             start, end = m.span(kind)
-            new = self.value(kind, m[kind])
+            if kind == "iban":
+                new, end = self.iban(text, start, end)
+            else:
+                new = self.value(kind, m[kind])
             if new is None:
                 # it fails validation as this kind; another kind may still begin within it
                 at = start + 1
