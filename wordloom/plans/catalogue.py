@@ -157,6 +157,8 @@ _doc("byte_fallback_pieces", lambda: T.byte_pieces, "list_transform(regexp_extra
 _doc("characters", lambda: lambda c: F.size(T.characters(c)).cast("long"), "length(text)")
 _doc("graphemes", lambda: lambda c: F.size(T.graphemes(c)).cast("long"), "length_grapheme(text)")
 _doc("code_points", lambda: lambda c: T.join(F.transform(F.slice(T.characters(c), 1, 20), lambda x: T.from_code_point(F.ascii(x)))), "substr(text, 1, 20)")
+# the SQL of code_points holds it to the first 20 characters; this one maps all of a text
+_doc("code_points_whole", lambda: lambda c: T.join(F.transform(T.characters(c), lambda x: T.from_code_point(F.ascii(x)))), "text")
 
 # --- added tokens ---
 
