@@ -132,12 +132,13 @@ class Codec:
         return piece if kind in (spm_model.NORMAL, spm_model.USER_DEFINED) else None
 
     def _forget(self) -> None:
-        """No word is known: the words, the ids of all in a row, where each one's start, and which come back."""
+        """No word is known: the words, the ids of all in a row, where each one's start, which come back, and which the reference cuts alike."""
         self.words = pa.array([], pa.string())
         self.ids, self.starts, self.lossless = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.alike = np.zeros(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        sizes, flat, kept = [], [], []
+        sizes, flat, kept, alike = [], [], [], []
         piece = self.chars.__getitem__
         for at in range(0, len(words), SLICE):
             own = [w if w[:1] == "\n" else MARK + w for w in words[at : at + SLICE]]
@@ -148,7 +149,8 @@ class Codec:
                 # a lone marker cannot be asked for: the reference makes nothing of an empty text
                 if o[0] == "\n":
                     y = y[1:]
-                if x != y and o != MARK:
+                alike.append(x == y or o == MARK)
+                if not alike[-1]:
                     x = y
                 chars = list(map(piece, x))
                 kept.append("".join(chars) == o if None not in chars else self.decode([x]) == [o.removeprefix(MARK)])
@@ -158,13 +160,14 @@ class Codec:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.array(flat, np.int32)])
         self.lossless = np.concatenate([self.lossless, np.array(kept, bool)])
+        self.alike = np.concatenate([self.alike, np.array(alike, bool)])
 
     def is_plain(self, text: str) -> bool:
         """Whether every marker of the text is a single space between its words."""
         return self.by_word and MARK not in text and "  " not in text and text[:1] not in (" ", "\n") and " \n" not in text
 
-    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of ids of each text, all ids in a row, and which texts come back."""
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text, all ids in a row, which texts come back, and which have only words cut alike."""
         cut = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.string()), " ")
         edges = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
@@ -184,36 +187,40 @@ class Codec:
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.starts[row] - ends[:-1], size) + np.arange(ends[-1])]
         lost = np.concatenate(([0], np.cumsum(~self.lossless[row])))
-        return ends[edges[1:]] - ends[edges[:-1]], ids, lost[edges[1:]] == lost[edges[:-1]]
+        other = np.concatenate(([0], np.cumsum(~self.alike[row])))
+        return ends[edges[1:]] - ends[edges[:-1]], ids, lost[edges[1:]] == lost[edges[:-1]], other[edges[1:]] == other[edges[:-1]]
 
-    def encode_array(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of ids of each text, all ids in a row, and which texts the ids decode to."""
+    def encode_array(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each text, all ids in a row, which texts the ids decode to, and for which the rebuilt model's
+        own ids were the reference's; elsewhere the reference's were taken."""
         plain = np.array([bool(t) and self.is_plain(t) for t in texts], dtype=bool)
-        sizes, back = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        sizes, back, same = np.zeros(len(texts), np.int64), np.ones(len(texts), bool), np.ones(len(texts), bool)
         at = np.flatnonzero(plain)
         flat = np.zeros(0, np.int32)
         if len(at):
-            sizes[at], flat, back[at] = self._by_word([texts[k] for k in at])
+            sizes[at], flat, back[at], same[at] = self._by_word([texts[k] for k in at])
         others = {}
         rest = np.flatnonzero(~plain)
         for part in (rest[k : k + 64] for k in range(0, len(rest), 64)):
             own = [texts[k] for k in part]
             ours = [e.ids for e in self.whole.encode_batch_fast(own, add_special_tokens=False)]
-            ours = [x if x == y else y for x, y in zip(ours, self.exact.encode(own), strict=True)]
+            theirs = self.exact.encode(own)
+            same[part] = [x == y for x, y in zip(ours, theirs, strict=True)]
+            ours = theirs
             for k, x, t in zip(part, ours, self.decode(ours), strict=True):
                 others[k], sizes[k], back[k] = x, len(x), t == texts[k]
         if not others:
-            return sizes, flat, back
+            return sizes, flat, back, same
         starts = np.concatenate(([0], np.cumsum(sizes)))
         out = np.zeros(starts[-1], np.int32)
         here = np.cumsum(sizes[at]) - sizes[at]
         out[np.repeat(starts[at] - here, sizes[at]) + np.arange(len(flat))] = flat
         for k, x in others.items():
             out[starts[k] : starts[k] + len(x)] = x
-        return sizes, out, back
+        return sizes, out, back, same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        sizes, ids, _ = self.encode_array(texts)
+        sizes, ids, *_ = self.encode_array(texts)
         return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -226,7 +233,8 @@ def _read(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids array<int>; with ``verify`` also round_trip: the decoded ids are the text.
+    """docs(doc_id, text) -> doc_id, ids array<int>; with ``verify`` also round_trip (the decoded ids are the text)
+    and parity (the rebuilt model gave the ids itself; otherwise they are SentencePiece's, which differed).
 
     The model's bytes (a vocabulary, whose size does not depend on the documents) go with the tasks.
     """
@@ -238,21 +246,22 @@ def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: b
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             held = [k for k, t in enumerate(texts) if t is not None]
-            counts, flat, back = codec.encode_array([texts[k] for k in held])
+            counts, flat, back, alike = codec.encode_array([texts[k] for k in held])
             sizes = np.zeros(len(texts) + 1, dtype=np.int64)
             sizes[np.array(held, dtype=np.int64) + 1] = counts
             absent = pa.array([t is None for t in texts], pa.bool_())
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat), mask=absent)
             same: list = [None] * len(texts)
-            for k, ok in zip(held, back.tolist(), strict=True):
-                same[k] = ok
+            parity: list = [None] * len(texts)
+            for k, ok, like in zip(held, back.tolist(), alike.tolist(), strict=True):
+                same[k], parity[k] = ok, like
             cols, names = [b.column(0), ids], ["doc_id", "ids"]
             if verify:
-                cols.append(pa.array(same, pa.bool_()))
-                names.append("round_trip")
+                cols += [pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())]
+                names += ["round_trip", "parity"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"doc_id {kind}, ids array<int>" + ", round_trip boolean" * verify
+    schema = f"doc_id {kind}, ids array<int>" + ", round_trip boolean, parity boolean" * verify
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -276,11 +285,11 @@ def decode(rows: DataFrame, model_path: str = spm_model.DEFAULT_MODEL) -> DataFr
 
 def op8_spm(spark, sf_dir) -> DataFrame:
     e = encode(table(spark, sf_dir, "documents"), verify=True)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the ids of every document, and whether they decode to its text."""
+    """Pipeline stage, the last: the ids of every document, whether they decode to its text, and parity."""
     small_batches(spark)
     e = encode(docs, verify=True)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
