@@ -300,15 +300,74 @@ def test_wrappers_of_pages(spark, duck):
         assert (got[page]["text"], got[page]["n_chars"], got[page]["url"]) == (want, len(want), url)
 
 
-def test_wrapper_expressions(spark):
-    pages = ["<ul><li>a</li><li>b</li></ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>c</li></ul><div>note</div><h2>z</h2><p>3</p>"]
+def wrapped(pages):
+    """Expression of pages of one host, and their texts, without Spark."""
+    held = Counter(d for p in pages for d in {wrappers.digest(path, t) for path, t, _ in wrappers.read(p)[1] if path})
+    template = frozenset(d for d, n in held.items() if n >= wrappers.TEMPLATE_PAGES and n >= wrappers.TEMPLATE_SHARE * len(pages))
     w = wrappers.Wrapper()
     for p in pages:
-        w.add_page(p)
-    assert wrappers.expression(w.tree) == "<ul>(<li>#</li>)+</ul>(<div>#</div>)?(<h2>#</h2><p>#</p>)+"
-    assert wrappers.Wrapper.load(w.dump()).tree == w.tree
+        w.add_page(p, template)
+    w.settle()
+    shown = wrappers.expression(w.tree)
+    wrappers.choose(w.tree)
+    reader = wrappers.Reader(wrappers.Wrapper.load(w.dump()).tree, template)
+    return shown, [reader.text(p) for p in pages]
+
+
+def alone(page):
+    return wrappers.Reader(None).text(page)
+
+
+def test_wrapper_expressions(spark):
+    pages = ["<ul><li>a</li><li>b</li></ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<ul><li>c</li></ul><div>note</div><h2>z</h2><p>3</p>"]
+    want = "<ul>(<li>#</li>)+</ul>(<div>#</div>)?(<h2>#</h2><p>#</p>)+"
+    assert wrapped(pages)[0] == wrapped(pages[::-1])[0] == want
+    # equal neighbours on all pages are told apart by their place, and repeat only where their number differs
+    assert wrapped(["<div>1</div><div>2</div>"] * 2)[0] == "<div>#</div><div>#</div>"
     df = spark.createDataFrame([("http://h/1", pages[0]), ("http://H/2", pages[1])], "url string, html string").repartition(2)
-    assert [r["expression"] for r in wrappers.infer(df).collect()] == [wrappers.expression(w.tree)]
+    assert [r["expression"] for r in wrappers.infer(df).collect()] == [want]
+
+
+SUBSCRIBE = "Subscribe to our weekly paper and read every long story that we print for you on each day of the week."
+
+
+@pytest.mark.parametrize("page", ["<div><p>{}</p></div><div><p>%s</p></div>", "<div><p>{}</p><p>%s</p></div>", "<article><p>{}</p><p>%s</p></article>", "<table><tr><td>%s<td>{}</table>"])
+def test_template_texts_are_told_from_slots(spark, page):
+    pages = ["<html><body>" + (page % SUBSCRIBE).format(f"paragraph {k * 7919}") + "</body></html>" for k in range(20)]
+    assert wrapped(pages)[1] == [f"paragraph {k * 7919}" for k in range(20)]
+    df = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == {k: f"paragraph {k * 7919}" for k in range(20)}
+    # without the host's expression the template cannot be told
+    assert SUBSCRIBE in alone(pages[0])
+
+
+def test_copies_on_most_pages_keep_their_text():
+    copy = "<article><h1>Title</h1><p>The same words on all pages.</p></article>"
+    shown, texts = wrapped([copy] * 19 + ["<article><h1>Other</h1><p>Other words.</p></article>"])
+    assert set(texts[:19]) == {"Title The same words on all pages."} and texts[19] == "Other Other words."
+
+
+def test_places_decide_between_equal_tags():
+    # a list of links, the text and a date, all in plain divs: the place in the host's expression tells them apart
+    page = "<body><div><a>x{0}</a> <a>y{0}</a></div><div><div><p>The text of page {0} is here, and it is long.</p>{1}</div></div><div>{0} May</div></body>"
+    pages = [page.format(k, "<p>More.</p>" * (k % 3)) for k in range(10)]
+    assert wrapped(pages)[1] == [f"The text of page {k} is here, and it is long." + " More." * (k % 3) for k in range(10)]
+
+
+def test_deep_and_wide_pages():
+    import time
+
+    for tag in ("<i>", "<div>", "<ul><li>", "<a href=x>", "<section>", "<span class=x>"):
+        began = time.time()
+        # the main element is the deepest with most of the text, so what stands above DEPTH levels is not in it
+        got = alone("<p>" + (tag + "x ") * 20_000).split()
+        assert set(got) == {"x"} and 20_000 - wrappers.DEPTH <= len(got) <= 20_000
+        assert time.time() - began < 10
+    rng = random.Random(4)
+    mixed = lambda n: "".join(f"<{t}>w{rng.random()}</{t}>" for t in rng.choices(["p", "h2", "pre", "ul"], k=n))
+    pages = [mixed(3000), mixed(1600), mixed(5), mixed(0)]
+    shown, texts = wrapped(pages)
+    assert len(shown) < 1000 and texts == [" ".join(re.findall(r"w[0-9.e-]+", p)) for p in pages]
 
 
 def test_noise_of_pages():
@@ -316,9 +375,16 @@ def test_noise_of_pages():
 <div class="cookie-notice">cookies</div><article class="post-12"><header><h1>Ti&amp;tle</h1></header><p>One <i>two</i>th<b>ree</b>&nbsp;4<div class="ad">buy</div>
 <p>Next<br>line<form><input>q</form><aside>aa</aside><ul><li>a<li>b</ul><script>if(a<b)</script><!-- c --><footer>foot</footer></article>
 <section class="comments"><article class="comment">c1</article></section><footer>f</footer>"""
-    assert wrappers.text_of(page, set()) == "Ti&tle One twothree 4 Next line a b"
-    assert wrappers.text_of("<p>a</p><nav>zz<article>kept</article>", set()) == "kept"
-    assert wrappers.text_of('<div class="menu">m</div><div><p>Hello world here.</p><p>More text.</p></div>', set()) == "Hello world here. More text."
+    assert alone(page) == "Ti&tle One twothree 4 Next line a b"
+    assert alone("<p>a</p><nav>zz<article>kept</article>") == "kept"
+    assert alone('<div class="menu">m</div><div><p>Hello world here.</p><p>More text.</p></div>') == "Hello world here. More text."
+    assert alone('<div class="post-comments-enabled"><p>real text</p></div>') == "real text"
+
+
+def test_class_names_yield_to_the_text_of_a_host():
+    # all that differs between the pages stands in what a class name calls a widget
+    pages = [f"<body><p>Welcome</p><div class='widget'><p>Story {k * 31}</p></div></body>" for k in range(12)]
+    assert wrapped(pages)[1] == [f"Story {k * 31}" for k in range(12)]
 
 
 def test_warc_files_are_plain_warc(spark, tmp_path):
