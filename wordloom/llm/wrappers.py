@@ -706,9 +706,9 @@ def main_texts(tree, n: int, wrapper: list) -> list[int]:
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars."""
     common = written(templates(pages), "page-templates")
-    known = written((wrappers if wrappers is not None else infer(pages, common)).select("host", "wrapper"), "wrappers")
+    known = (wrappers if wrappers is not None else infer(pages, common)).select("host", "wrapper").join(common, "host", "left")
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = keyed.join(known.join(common, "host", "left"), "host", "left")
+    joined = keyed.join(written(known, "wrappers"), "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
