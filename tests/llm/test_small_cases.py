@@ -72,6 +72,31 @@ def test_mixing(spark, some, none):
     assert out.columns == some.columns and mixing.stage(spark, none, "").collect() == []
 
 
+@pytest.mark.parametrize("ids", [lambda k: 7, lambda k: None, lambda k: k // 30, lambda k: k])
+@pytest.mark.parametrize("text", [lambda k: "one two three four five six seven eight nine ten", lambda k: " ".join([f"w{k}"] * (k % 17 + 1)), lambda k: " ".join(["x"] * (k % 3))])
+def test_mixing_takes_row_by_row(spark, ids, text):
+    import duckdb
+
+    rows = [(ids(k), text(k), "en", s) for s, n in (("a", 100), ("b", 10), ("c", 200), (None, 15)) for k in range(n)]
+    df = docs(spark, rows).repartition(3)
+    got = df.transform(mixing.mix).collect()
+    taken, target, largest = {}, {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 2
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in target)
+    # equal rows are interchangeable, so the SQL gives the same rows
+    documents = df.toArrow()  # noqa: F841
+    theirs = duckdb.sql(mixing.ORACLE).fetchall()
+    ours = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["size"] * r["copies"]) for r in got]
+    assert sorted(map(repr, ours)) == sorted(map(repr, theirs))
+    # the stage gives each row as often as that, with its other columns
+    out = mixing.stage(spark, df, "").groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[a-z0-9]+"))).alias("n"), F.min("kept_id").alias("k")).collect()
+    assert {r["source"]: r["n"] for r in out} == {s: n for s, n in taken.items()} and {r["k"] for r in out} == {2}
+
+
 def test_mixing_of_nothing(spark):
     only_empty = docs(spark, [(1, None, "en", "a"), (2, "", "en", None)])
     assert {r["target"] for r in mixing.mix(only_empty).collect()} == {0.0}
