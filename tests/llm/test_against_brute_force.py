@@ -75,6 +75,43 @@ def test_simhash(spark, documents):
     assert {d: r["component_id"] for d, r in got.items()} == reach(fps)
 
 
+def alike(texts):
+    """ids -> the smallest id that each reaches by sets of five-word shingles of similarity 0.8."""
+    low = lambda t: WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    words = {d: low(t) for d, t in texts.items()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    root = {d: d for d in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_stage_keeps_one_of_each_group(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=n) for n in (3, 5, 40, 200, 200)]
+    texts = {d: t for d, t, _, _ in documents[:100]}
+    for k in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 2, 4, 8))):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(9)}"
+        texts[10_000 + k] = " ".join(words).upper() if k % 3 else " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = sorted({r for r in alike(texts).values()})
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect()) == want and len(want) < 200
+    monkeypatch.setattr(simhash, "CELL", 7)
+    monkeypatch.setattr(simhash, "SET_CELL", 5)
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect()) == want
+
+
 def test_components_of_chains(spark):
     # chains, whose ends are far apart, and a hub
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(70, 75), (75, 72), (71, 72)]
@@ -407,7 +444,7 @@ def test_pipeline(spark, documents):
     got = corpus_pipeline.run(spark, SF).collect()
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     docs = [d for d, p in zip(documents, model.predict([t for _, t, _, _ in documents]), strict=True) if p[0] != "und" and p[1] >= 0.5]
-    names = reach({d[0]: fingerprint(d[1]) for d in docs})
+    names = alike({d[0]: d[1] for d in docs})
     docs = [d for d in docs if names[d[0]] == d[0]]
     hider = pii.Pseudonymizer()
     docs = {d[0]: (hider.text(d[1])[0], d[3]) for d in docs}

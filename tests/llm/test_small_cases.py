@@ -56,6 +56,17 @@ def test_simhash(spark, some, none):
     assert simhash.stage(spark, none, "").collect() == []
 
 
+@pytest.mark.parametrize("ids", [(7, 7, 7, 7), (None,) * 4, (1, 1, None, None)])
+def test_stage_goes_by_row(spark, ids):
+    words = ["alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black pink", "north south east west up down"]
+    df = docs(spark, [(i, t, "en", "a") for i, t in zip(ids, words, strict=True)]).repartition(3)
+    assert sorted(r["text"] for r in simhash.stage(spark, df, "").collect()) == sorted(words)
+    twice = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit("zz")))
+    got = simhash.stage(spark, twice, "").collect()
+    assert sorted(r["text"] for r in got) == sorted(words) and {r["lang"] for r in got} == {"en"} and got[0].__fields__ == df.columns
+    assert sorted(map(repr, got)) == sorted(map(repr, simhash.stage(spark, twice.repartition(2), "").collect()))
+
+
 def test_pii(spark, some, none):
     out = pii.pseudonymize(some, spans="found")
     assert out.count() == len(ROWS) and out.filter("text IS NULL").count() == 1

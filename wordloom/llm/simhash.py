@@ -16,6 +16,13 @@ lost for reachability and a bucket of n rows emits under n edges.
 A bucket that holds more than ``CELL`` fingerprints is cut into pieces by Gray rank and its pairs of
 pieces are dealt to separate cells, so one task never holds more than two pieces of one bucket.
 
+The pipeline's stage (``alike``) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such
+sets' fingerprints differ in about ten bits of 64 and in over ``REACH`` with a probability below 1e-6, but blocks of bits
+cannot partition so wide a search; there buckets are bands of minima of hashes over the set. In each bucket the index finds
+the pairs within REACH bits, and 100 minima tell which are likely enough (``LIKELY``) to be looked at. What these connect is
+searched by the index once more, with the sets at hand: only pairs whose sets have the similarity are joined. A link at
+0.8 is missed with a probability of about 0.0004 (by all bands) and 0.0001 (by the minima); no pair is listed.
+
 Edge cases: null and empty texts have no shingle and the fingerprint zero, which links like any other; a
 text of fewer words than a shingle has the whole sequence as its one shingle; rows that repeat a doc_id are
 all returned; a null doc_id never becomes a component's name unless it is alone in it (then null);
@@ -127,8 +134,9 @@ class GrayIndex:
         if n:
             self.levels[-1]["fresh"] = self.levels[-1]["mask"]
 
-    def components(self, limit: int) -> np.ndarray:
-        """Smallest position that each code reaches by links of at most ``limit`` bits under its root.
+    def components(self, limit: int, link=None) -> np.ndarray:
+        """Smallest position that each code reaches by links of at most ``limit`` bits under its root; link(label, i, j), if
+        given, decides which of the pairs within the limit are joined.
 
         Links are merged as they are found and never kept. A group whose codes are all in the query's
         component already is pruned like one that is too far away, so a dense group costs no pairs.
@@ -158,7 +166,7 @@ class GrayIndex:
                 if not len(q):
                     continue
                 if level == 0:
-                    join(label, q, node)
+                    (link or join)(label, q, node)
                     continue
                 first, count = nodes["first"][node], nodes["last"][node] - nodes["first"][node]
                 q, seen = np.repeat(q, count), np.repeat(seen, count)
@@ -194,53 +202,73 @@ def bucket_keys(fp, blocks: int, match: int):
     return F.array(*keys)
 
 
-def edges(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, match: int = MATCH) -> DataFrame:
-    """distinct(fp) -> (a, b), a < b: stars that connect what the links connect, bucket by bucket."""
-    if blocks - match < max_bits:
-        raise ValueError("blocks - match must be at least max_bits, or links are lost")
-    keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, match)).alias("key"))
+def celled(keyed: DataFrame, cell: int, name: str) -> DataFrame:
+    """keyed(key, fp, ...) -> root, fp, ...: rows of one key share a root; of a key with more than ``cell`` rows every two
+    pieces share one."""
     sized = keyed.groupBy("key").count()
-    # only buckets over a cell need pieces; the others are found by their absence
-    large = written(sized.filter(F.col("count") > CELL).withColumn("pieces", F.ceil(F.col("count") / CELL)).select("key", "pieces"), "simhash-large")
+    # only keys over a cell need pieces; the others are found by their absence
+    large = written(sized.filter(F.col("count") > cell).withColumn("pieces", F.ceil(F.col("count") / cell)).select("key", "pieces"), name)
     keyed = keyed.join(large, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)).cast("int"))
     # piece: pseudo-random, so that pieces are even; the index sorts each cell by Gray rank itself
     keyed = keyed.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(k, F.col("piece")).alias("lo"), F.greatest(k, F.col("piece")).alias("hi")))
-    keyed = keyed.select("fp", F.explode(cells).alias("cell"), "key")
-    keyed = keyed.select("fp", F.xxhash64("key", "cell").alias("root"))
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartition(parts, "root").sortWithinPartitions("root")
+    rest = [c for c in keyed.columns if c not in ("key", "pieces", "piece")]
+    return keyed.select(*rest, F.explode(cells).alias("cell"), "key").select(F.xxhash64("key", "cell").alias("root"), *rest)
+
+
+def by_root(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "root").sortWithinPartitions("root")
+
+
+def edges(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, match: int = MATCH) -> DataFrame:
+    """distinct(fp) -> (a, b), a < b: stars that connect what the links connect, bucket by bucket."""
+    if blocks - match < max_bits:
+        raise ValueError("blocks - match must be at least max_bits, or links are lost")
+    keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, match)).alias("key"))
+    run = searching(lambda t: t.column("fp").to_numpy(), lambda t, order: None, max_bits)
+    keyed = by_root(celled(keyed, CELL, "simhash-large").select("root", "fp"))
+    return keyed.mapInArrow(run, "a long, b long").filter("a != b").distinct()
+
+
+def searching(names_of, links_of, limit: int, rows: int = 200_000, size: int = 1 << 27):
+    """A function over batches (root, fp, ...) sorted by root: the stars (a, b) of what the index connects under each root.
+
+    names_of(table) gives the names of its rows; links_of(table, order), with the positions of the codes in the index, the check of
+    pairs or None. Roots that come whole are searched once ``rows`` rows or ``size`` bytes are held.
+    """
 
     def run(batches):
-        roots, codes, held = [], [], 0
+        held: list[pa.RecordBatch] = []
 
         def flush(final: bool):
-            nonlocal roots, codes, held
-            r, c = np.concatenate(roots), np.concatenate(codes)
+            t = pa.Table.from_batches(held).combine_chunks()
+            roots = t.column("root").to_numpy()
             # the last root may go on in the next batch
-            cut = len(r) if final else int(np.searchsorted(r, r[-1], side="left"))
-            roots, codes, held = [r[cut:]], [c[cut:]], len(r) - cut
-            r, c = r[:cut], c[:cut].astype(np.uint64)
+            cut = len(roots) if final else int(np.searchsorted(roots, roots[-1], side="left"))
+            rest = t.slice(cut)
+            held[:] = rest.to_batches() if len(rest) else []
+            r = roots[:cut]
             if not len(r):
                 return None
             alone = np.ones(len(r), dtype=bool)
             alone[1:] &= r[1:] != r[:-1]
             alone[:-1] &= r[1:] != r[:-1]
-            r, c = r[~alone], c[~alone]
+            t = t.take(pa.array(np.flatnonzero(~alone)))
+            r, c = r[~alone], t.column("fp").to_numpy().astype(np.uint64)
             order = np.lexsort((gray_rank(c), r))
-            r, c = r[order], c[order]
-            label = GrayIndex(r, c).components(max_bits)
+            label = GrayIndex(r[order], c[order]).components(limit, links_of(t, order))
             moved = np.flatnonzero(label != np.arange(len(c)))
-            x, y = c[moved].astype(np.int64), c[label[moved]].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            names = names_of(t)
+            x, y = names[order[moved]], names[order[label[moved]]]
+            kind = t.schema.field("name").type if "name" in t.column_names else pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind)], names=["a", "b"])
 
         for batch in slices(batches, 10_000):
             if not batch.num_rows:
                 continue
-            roots.append(batch.column("root").to_numpy())
-            codes.append(batch.column("fp").to_numpy())
-            held += batch.num_rows
-            if held >= 200_000:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
                 out = flush(False)
                 if out is not None:
                     yield out
@@ -249,7 +277,7 @@ def edges(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, m
             if out is not None:
                 yield out
 
-    return keyed.mapInArrow(run, "a long, b long").filter("a != b").distinct()
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,21 +322,163 @@ def op7_simhash(spark, sf_dir) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- texts whose sets of shingles are alike -----------------------------------------------------------------------
+
+#: Words of a shingle and similarity of sets.
+SET_SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits within which fingerprints of like sets lie, and the share of equal minima from which a pair is looked at.
+REACH = 26
+LIKELY = 0.65
+#: Bands of a signature, and minima of a band (one byte each).
+BANDS = 20
+BAND = 5
+#: Sets of one group that a cell holds from one piece.
+SET_CELL = 4096
+
+_FACTORS = np.random.default_rng(20240517).integers(1, 2**63, BANDS * BAND, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def shingle_set(words: list[bytes], shingle: int = SET_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending; a text of fewer words than a shingle has one."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(1, len(words) - shingle + 1))], dtype=np.uint64))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """One byte of the smallest of each of the hashes' permutations."""
+    best = np.full(len(_FACTORS), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        # odd factors permute; the high bits decide the order
+        np.minimum(best, (hashes[at : at + 4096, None] * _FACTORS).min(axis=0), out=best)
+    return (best ^ (best >> np.uint64(29))).astype(np.uint8).tobytes()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, as a signed 64-bit number."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int((((counts * 2) > len(hashes)).astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64).astype(np.int64))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held (digest of the text), name (of its words in lower case), fp, sig, hashes (32 bits of
+    each shingle's, ascending)."""
+
+    def run(batches):
+        for b in slices(batches):
+            out = []
+            for t in b.column(1):
+                words = (t.as_py() or b"").lower().split()
+                found = shingle_set(words)
+                few = np.unique((found >> np.uint64(32)).astype(np.uint32))
+                out.append((xxhash.xxh3_128_digest(b" ".join(words)), majority(found), signature(found), few.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "held", "name", "fp", "sig", "hashes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), held(F.col("text")).alias("held"))
+    return texts.mapInArrow(run, f"doc_id {kind}, held string, name binary, fp long, sig binary, hashes binary")
+
+
+def held(text):
+    """What tells texts of one doc_id apart."""
+    return F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))
+
+
+def _bytes(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def _likely(t: pa.Table, order: np.ndarray):
+    sig = _bytes(t.column("sig"), BANDS * BAND)[order]
+
+    def link(label, i, j):
+        for at in range(0, len(i), 65536):
+            a, b = i[at : at + 65536], j[at : at + 65536]
+            near = (sig[a] == sig[b]).sum(axis=1) >= LIKELY * BANDS * BAND
+            join(label, a[near], b[near])
+
+    return link
+
+
+def _alike(similarity: float):
+    def links_of(t: pa.Table, order: np.ndarray):
+        sig, sets = _bytes(t.column("sig"), BANDS * BAND)[order], t.column("hashes")
+
+        def link(label, i, j):
+            for at in range(0, len(i), 65536):
+                a, b = i[at : at + 65536], j[at : at + 65536]
+                near = ((sig[a] == sig[b]).sum(axis=1) >= LIKELY * BANDS * BAND) & (label[a] != label[b])
+                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    if label[x] != label[y] and jaccard(sets[order[x]].as_buffer(), sets[order[y]].as_buffer()) >= similarity:
+                        join(label, np.array([x]), np.array([y]))
+
+        return link
+
+    return links_of
+
+
+def jaccard(x, y) -> float:
+    """Similarity of two sets of 32-bit hashes, given ascending as bytes."""
+    a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    n = int((both[1:] == both[:-1]).sum())
+    return n / (len(a) + len(b) - n)
+
+
+def _names(t: pa.Table) -> np.ndarray:
+    return np.array(t.column("name").to_pylist(), dtype=object)
+
+
+def alike(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """sketched (see ``sketches``) -> name, root: the smallest name that each linked name reaches."""
+    distinct = sketched.groupBy("name").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.max(F.length("hashes")).alias("n"))
+    distinct = written(distinct.filter("n > 0").drop("n"), "alike-distinct")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND + 1, BAND)) for k in range(BANDS)])
+    banded = distinct.select("name", F.explode(bands).alias("key"))
+    # names whose band nobody shares have nothing to be compared with; only keys are shuffled to tell
+    shared = written(banded.groupBy("key").count().filter("count > 1").select("key"), "alike-shared")
+    asked = written(banded.join(shared, "key", "left_semi"), "alike-asked")
+    keyed = asked.join(distinct, "name")
+    likely = by_root(celled(keyed, CELL, "alike-large")).mapInArrow(searching(_names, _likely, REACH), "a binary, b binary")
+    near = written(components(likely.filter("a != b").distinct()), "alike-likely")
+    near = written(near.select("node", "root").unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "alike-members")
+    # copies of one text have one set
+    sets = sketched.join(near, F.col("name") == F.col("node")).groupBy("name").agg(F.min("root").alias("key"), F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("hashes").alias("hashes"))
+    checked = by_root(celled(written(sets, "alike-sets"), SET_CELL, "alike-cells")).mapInArrow(searching(_names, _alike(similarity), REACH), "a binary, b binary")
+    return components(checked.filter("a != b").distinct()).select(F.col("node").alias("name"), "root")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays. Rows that repeat a doc_id
-    are one document; a doc_id that stays for one of its texts stays.
+    """Pipeline stage: of each group of documents whose texts are linked (``alike``: five words, 0.8) one stays, that with the
+    smallest doc_id. Documents are rows: rows that share a doc_id, or have none, are told apart by their texts, and of those
+    that share both the smallest by its columns stays. Texts without words are one group.
 
     The texts are joined with what goes, which is far less than what stays: while it is small it is broadcast, and no
     text moves.
     """
     small_batches(spark)
-    g = groups(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = written(g.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "simhash-ids")
-    goes = written(ids.filter("NOT stays").select(F.col("doc_id").alias("gone_id")), "simhash-gone")
-    twice = written(ids.filter("stays AND n > 1").select(F.col("doc_id").alias("twice_id")), "simhash-twice")
-    kept = docs.join(goes, docs["doc_id"].eqNullSafe(goes["gone_id"]), "left_anti")
+    sketched = written(sketches(docs), "alike-sketches")
+    rows = written(sketched.groupBy("name", "doc_id", "held").agg(F.count(F.lit(1)).alias("n")), "alike-rows")
+    roots = written(alike(sketched), "alike-roots")
+    rows = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    rows = written(rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "held")), "alike-ordered")
+    first = written(rows.groupBy("root").agg(F.min("order").alias("first")), "alike-first")
+    stays = F.col("order") == F.col("first")
+    marked = written(rows.join(first, "root").select(F.col("doc_id").alias("own_id"), F.col("held").alias("own_text"), stays.alias("stays"), "n"), "alike-marked")
+    hit = docs["doc_id"].eqNullSafe(F.col("own_id")) & (held(docs["text"]) == F.col("own_text"))
+    kept = docs.join(marked.filter("NOT stays"), hit, "left_anti")
+    twice = written(marked.filter("stays AND n > 1"), "alike-twice")
     if not twice.isEmpty():
-        again = kept["doc_id"].eqNullSafe(twice["twice_id"])
-        once = kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(twice, again, "left_anti").unionByName(once)
+        again = kept.join(twice, hit, "left_semi")
+        once = again.groupBy("doc_id", held(F.col("text")).alias("held")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        kept = kept.join(twice, hit, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
