@@ -314,8 +314,30 @@ def test_multi_index_retrieves_every_code_in_the_radius():
     codes = rng.integers(0, 1 << 16, (300, 16), dtype=np.uint16)
     asked = codes[:20] ^ (rng.random((20, 16)) < 0.2).astype(np.uint16)
     index = ann.MultiIndex(codes)
-    for radius in (0, 3, 15, 16, 100, 130, 256):
-        assert np.array_equal(index.probe(asked, radius), ann.distances(asked, codes) <= radius)
+    for radius in (0, 3, 15, 16, 17, 31, 100, 107, 130, 256):
+        assert sum(x + 1 for x in ann.limits(radius, 16)) == radius + 1
+        away = ann.distances(asked, codes)
+        for q, row in zip(asked, away, strict=True):
+            assert np.array_equal(index.probe(q, radius), np.flatnonzero(row <= radius))
+    # buckets are enumerated, or looked for among the values held
+    few = ann.MultiIndex(codes[:, :1] & 3)
+    assert sorted(few.buckets(0, 0, 1)) == [0, 1, 2] and sorted(few.buckets(0x7000, 0, 4)) == [0, 1, 2]
+    assert sorted(index.buckets(codes[5, 3], 3, 0)) == [codes[5, 3]]
+
+
+def test_only_what_the_index_admits_is_scored():
+    rng = np.random.default_rng(4)
+    # clusters, which the codes tell apart
+    x = rng.normal(size=(40, 1, 32)) * 4 + rng.normal(size=(40, 50, 32)) * 0.3
+    x = x.reshape(-1, 32)
+    coder = ann.Coder(np.zeros((0, 0)), float(np.linalg.norm(x, axis=1).max()))
+    coder.rotations = ann.learn_rotations(np.hstack([x, np.zeros((len(x), 1))]))
+    block = ann.Block(np.arange(len(x)), np.arange(len(x)) * 10, x, coder)
+    asked = np.arange(0, len(x), 100)
+    got = block.nearest(asked, asked * 10, x[asked], 60, 5)
+    codes = ann.distances(coder.queries(x[asked]), coder.rows(x))
+    assert block.scored == (codes <= 60).sum() - (codes[np.arange(len(asked)), asked] <= 60).sum() < 0.1 * len(asked) * len(x)
+    assert set(got["asked"]) <= set(asked.tolist())
 
 
 def test_short_answers_are_asked_again(spark):

@@ -180,8 +180,18 @@ def test_wrappers(spark):
 
 def test_ann(spark):
     e = [float(k) for k in range(4)]
-    rows = [(20, [1.0, 0.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [1.0, None, 0.0, 0.0]), (7, [math.nan, 1.0, 0.0, 0.0]), (8, [math.inf, 1.0, 0.0, 0.0]), (9, [1.0]), (None, e), (40, [-1.0, 0.5, 0.0, 0.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("score", F.lit(1))
+    # 20 comes twice: each row is a query, and a candidate of the other one; 5 has another length than most
+    rows = [(20, [1.0, 0.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (1, [0.5, 9.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [1.0, None, 0.0, 0.0]), (7, [math.nan, 1.0, 0.0, 0.0]), (8, [math.inf, 1.0, 0.0, 0.0]), (9, [1.0]), (60, [2.0]), (100, [1.0, 2.0]), (None, e), (40, [-1.0, 0.5, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("score", F.lit(1)).withColumn("number", F.lit(1))
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(v, F.col("vec_id") % 20 == 0).collect())
-    assert got == [(20, 1, 2, 2.0), (20, 2, 1, 1.0), (20, 3, 3, 1.0), (20, 4, 40, -1.0), (40, 1, 1, -1.0), (40, 2, 3, -1.0), (40, 3, 20, -1.0), (40, 4, 2, -2.0)]
+    of_20 = [(20, 1, 2, 2.0), (20, 2, 1, 1.0), (20, 3, 20, 1.0), (20, 4, 1, 0.5), (20, 5, 40, -1.0)]
+    assert got == sorted(of_20 * 2) + [(40, 1, 1, 4.0), (40, 2, 1, -1.0), (40, 3, 20, -1.0), (40, 4, 20, -1.0), (40, 5, 2, -2.0), (60, 1, 9, 2.0)]
     assert ann.search(v.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_ann_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rows = [(1, [float(k), 1.0]) for k in range(60)] + [(20, [1.0, 0.0]), (3, [58.5, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(v, F.col("vec_id") % 20 == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 59.0), (2, 3, 58.5), (3, 1, 58.0)]
