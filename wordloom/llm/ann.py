@@ -122,6 +122,10 @@ class MultiIndex:
             first, count = starts[values], starts[values + 1] - starts[values]
             at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(values) else values
             admitted[order[at]] = True
+            if 2 * np.count_nonzero(admitted) > len(admitted):
+                # buckets that admit most rows tell less than the full codes, which are compared in any case
+                admitted[:] = True
+                break
         rows = np.flatnonzero(admitted)
         return rows[distances(query[None, :], self.codes[rows])[0] <= radius]
 
