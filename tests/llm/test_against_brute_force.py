@@ -184,11 +184,30 @@ def test_viterbi():
         assert abs(total(field.viterbi(lines)) - best) < 1e-9
 
 
-def test_quality_verdicts(spark):
-    q = {r["doc_id"]: r for r in quality.op5_quality(spark, "/root/testdata/sf0.01").collect()}
-    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
-    right = [q[r["doc_id"]]["kept"] == (r["quality"] == 1) for r in known if not q[r["doc_id"]]["base_failed"]]
-    assert np.mean(right) > 0.98
+def test_quality_verdicts_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.fit(docs, labels)
+    seen = {r["doc_id"] for r in quality.sampled(labels).collect()}
+    got = quality.judge(docs, field).join(labels, "doc_id").filter("NOT base_failed").collect()
+    unseen = [r for r in got if r["doc_id"] not in seen]
+    for want in (0, 1):
+        right = [r["kept"] == bool(want) for r in unseen if r["quality"] == want]
+        assert len(right) > 100 and np.mean(right) > 0.95, (want, np.mean(right))
+    # lines are labelled one by one: many bad documents are content in part
+    shares = [r["content_share"] for r in got if r["quality"] == 0]
+    assert sum(0.02 < s < 0.98 for s in shares) > 0.3 * len(shares)
+    assert field.pair[0, 1] > -20 and field.pair[1, 0] > -20
+
+
+def test_lines_of_mixed_documents():
+    good, bad = "the quick brown fox jumps over the lazy dog again, and rests.", "BUY!! NOW!! BUY!! CHEAP!! BUY!! NOW!!"
+    docs = [(1, [good] * n) for n in range(2, 9)] * 4 + [(0, [good] * k + [bad] * n + [good]) for k in range(3) for n in range(3, 9)]
+    field = quality.LineField.learned([(q, *quality.measure("\n".join(lines))[5:]) for q, lines in docs])
+    for q, lines in docs:
+        sizes, features = quality.measure("\n".join(lines))[5:]
+        assert field.viterbi(features) == [int(x == good) for x in lines]
+        assert (field.share(sizes, features)[0] >= field.least_share) == bool(q)
 
 
 def test_langid_held_out(spark):

@@ -3,9 +3,11 @@
 Each line with a word has binary features of its shape (length, symbols, capitals, punctuation, repetition,
 letters). The field scores label sequences by features and by pairs of neighbouring labels; the Viterbi
 algorithm finds the best sequence, and a document is kept if the share of its words in content lines is at least
-``least_share``. The weights are fitted on at most about ``max_docs`` labelled documents, chosen by a
-hash: the lines of good documents are content, those of bad ones boilerplate, and regularised maximum
-likelihood settles what the shapes have in common.
+the field's ``least_share``. Weights and share are fitted on at most about ``max_docs`` labelled documents, chosen by a
+hash. Their labels are of documents, so the labels of lines are latent: they begin with the odds of each line's features
+in good and bad documents, and then the field's own best sequences replace them, ``ROUNDS`` times, as far as the document's
+label allows (a good document is content for the most part, a bad one is not content throughout). Good lines of bad documents
+are thus content, and the field sees where labels change. The share is the one that tells good from bad documents best.
 
 The base rules count words, characters, symbols, repeated lines and repeated eight-word windows of whole texts.
 
@@ -27,7 +29,10 @@ from .common import slices, table
 
 #: Labelled documents that the field is fitted on.
 MAX_DOCS = 2000
+#: The share of words in content lines from which a document is kept, where no labels tell it.
 LEAST_SHARE = 0.5
+#: How often the latent labels of lines are found anew.
+ROUNDS = 3
 WINDOW = 8
 MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
@@ -129,10 +134,14 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
 class LineField:
     """The linear-chain field; label 1 is content. node[label, feature], pair[before, after], start[label]."""
 
-    def __init__(self, node: np.ndarray, pair: np.ndarray, start: np.ndarray):
-        self.node, self.pair, self.start = node, pair, start
+    def __init__(self, node: np.ndarray, pair: np.ndarray, start: np.ndarray, least_share: float = LEAST_SHARE):
+        self.node, self.pair, self.start, self.least_share = node, pair, start, least_share
         self.known: dict[int, tuple[float, float]] = {}
 
+    @classmethod
+    def blank(cls) -> "LineField":
+        return cls(np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.zeros(2))
+
     def scores(self, bits: int) -> tuple[float, float]:
         if bits not in self.known:
             on = [k for k in range(N_FEATURES) if bits >> k & 1]
@@ -159,28 +168,32 @@ class LineField:
             out.append(label)
         return out[::-1]
 
+    def share(self, sizes: list[int], features: list[int]) -> tuple[float, int]:
+        """Share of the words in content lines, and the number of these lines."""
+        labels = self.viterbi(features)
+        total = sum(sizes)
+        return sum(n for n, y in zip(sizes, labels, strict=True) if y) / total if total else 0.0, sum(labels)
+
     @classmethod
-    def trained(cls, sequences: list[list[int]], labels: list[int], steps: int = 100, ridge: float = 1.0):
-        """Maximum likelihood by Adam on forward-backward expectations; every line of a sequence has its label."""
-        parts = [(s[k : k + CHUNK], y) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), CHUNK)]
-        if not parts or len({y for _, y in parts}) < 2:
-            return cls(np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.zeros(2))
+    def trained(cls, sequences: list[list[int]], labels: list[list[int]], steps: int = 100, ridge: float = 1.0):
+        """Maximum likelihood of labelled lines by Adam on forward-backward expectations."""
+        parts = [(s[k : k + CHUNK], y[k : k + CHUNK]) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), CHUNK)]
+        if not parts:
+            return cls.blank()
         n, width = len(parts), max(len(s) for s, _ in parts)
         x = np.zeros((n, width, N_FEATURES))
         live = np.zeros((n, width), dtype=bool)
-        for k, (s, _) in enumerate(parts):
+        gold = np.zeros((n, width, 2))
+        gold_pair = np.zeros((2, 2))
+        for k, (s, y) in enumerate(parts):
             live[k, : len(s)] = True
             x[k, : len(s)] = (np.array(s)[:, None] >> np.arange(N_FEATURES)) & 1
-        y = np.array([y for _, y in parts])
+            gold[k, np.arange(len(s)), y] = 1
+            np.add.at(gold_pair, (y[:-1], y[1:]), 1)
         weight = np.zeros(2 * N_FEATURES + 4 + 2)
         m, v = np.zeros_like(weight), np.zeros_like(weight)
-        gold = np.zeros((n, width, 2))
-        gold[np.arange(n), :, y] = live
         pairs = live[:, 1:].sum()
-        gold_pair = np.zeros((2, 2))
-        for k in (0, 1):
-            gold_pair[k, k] = live[y == k][:, 1:].sum()
-        gold_start = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
+        gold_start = gold[:, 0].sum(axis=0)
         for step in range(1, steps + 1):
             node, pair, start = weight[: 2 * N_FEATURES].reshape(2, -1), weight[-6:-2].reshape(2, 2), weight[-2:]
             e = x @ node.T
@@ -203,31 +216,79 @@ class LineField:
             weight = weight + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(weight[: 2 * N_FEATURES].reshape(2, -1), weight[-6:-2].reshape(2, 2), weight[-2:])
 
+    @classmethod
+    def learned(cls, documents: list[tuple[int, list[int], list[int]]], rounds: int = ROUNDS):
+        """From (quality, words of each line, features of each line) of documents; their lines have no labels."""
+        if len({q for q, _, _ in documents}) < 2:
+            return cls.blank()
+        # odds of features, each line of a document weighing as its words do
+        held = np.ones((2, N_FEATURES))
+        words = np.full(2, 2.0)
+        for q, sizes, features in documents:
+            w = np.array(sizes) / sum(sizes)
+            held[q] += w @ ((np.array(features)[:, None] >> np.arange(N_FEATURES)) & 1)
+            words[q] += 1
+        on, off = np.log(held / words[:, None]), np.log1p(-np.minimum(held / words[:, None], 1 - 1e-6))
+        gain, base = (on - off)[1] - (on - off)[0], (off[1] - off[0]).sum()
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineField:
-    """docs(doc_id, text), labels(doc_id, quality 0 or 1) -> the field."""
+        def odds(features: list[int]) -> np.ndarray:
+            return ((np.array(features)[:, None] >> np.arange(N_FEATURES)) & 1) @ gain + base
+
+        def allowed(q: int, sizes: list[int], labels: list[int], features: list[int]) -> list[int]:
+            share = sum(n for n, y in zip(sizes, labels, strict=True) if y) / sum(sizes)
+            if q and share < LEAST_SHARE:
+                return [1] * len(labels)
+            if not q and all(labels):
+                worst = odds(features)
+                return [int(w > worst.min()) for w in worst]
+            return labels
+
+        labels = [allowed(q, sizes, [int(o > 0) for o in odds(f)], f) for q, sizes, f in documents]
+        for _ in range(rounds):
+            field = cls.trained([f for _, _, f in documents], labels)
+            labels = [allowed(q, sizes, field.viterbi(f), f) for q, sizes, f in documents]
+        field.least_share = best_share([(q, field.share(sizes, f)[0]) for q, sizes, f in documents])
+        return field
+
+
+def best_share(shares: list[tuple[int, float]]) -> float:
+    """The share that errs least on (quality, share) of documents, good and bad ones weighing alike; in the middle between two
+    of the shares."""
+    good, bad = (sorted(s for q, s in shares if q == k) for k in (1, 0))
+    found = sorted({0.0, *good, *bad, 1.0})
+    cuts = [(a + b) / 2 for a, b in zip(found, found[1:], strict=False)]
+    lost = np.searchsorted(good, cuts, side="left") / len(good) + 1 - np.searchsorted(bad, cuts, side="left") / len(bad)
+    return float(cuts[int(np.argmin(lost))])
+
+
+def sampled(labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The labelled documents that the field is fitted on: about max_docs at most, chosen by a hash."""
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     n = known.count()
-    if not n:
-        return LineField(np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.zeros(2))
     unit = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(1 << 30))
-    sample = known.filter(unit < int(min(1.0, max_docs / n) * (1 << 30)))
+    return known.filter(unit < int(min(1.0, max_docs / max(1, n)) * (1 << 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineField:
+    """docs(doc_id, text), labels(doc_id, quality 0 or 1) -> the field."""
 
     def run(batches):
         for b in slices(batches):
-            rows = [(d, q, measure(t)[6]) for d, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "quality", "lines"])
+            rows = [(d, q, *measure(t)[5:]) for d, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "quality", "sizes", "lines"])
 
     # the sample holds about max_docs rows at most, whatever the tables hold
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text")
-    rows = picked.mapInArrow(run, "doc_id string, quality int, lines array<int>").collect()
-    rows = sorted((r["doc_id"], r["quality"], r["lines"]) for r in rows if r["lines"])
-    return LineField.trained([r[2] for r in rows], [r[1] for r in rows])
+    picked = docs.select("doc_id", "text").join(F.broadcast(sampled(labels, max_docs)), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text")
+    rows = picked.mapInArrow(run, "doc_id string, quality int, sizes array<int>, lines array<int>").collect()
+    rows = sorted((r["doc_id"], r["quality"], r["sizes"], r["lines"]) for r in rows if r["lines"])
+    return LineField.learned([r[1:] for r in rows])
 
 
-def judge(docs: DataFrame, field: LineField, least_share: float = LEAST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, field: LineField, least_share: float | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, the counts, base_failed, kept, content_share and n_content_lines."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    least = field.least_share if least_share is None else least_share
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
@@ -235,11 +296,9 @@ def judge(docs: DataFrame, field: LineField, least_share: float = LEAST_SHARE) -
             out = []
             for t in b.column(1).to_pylist():
                 *counts, sizes, features = measure(t)
-                labels = field.viterbi(features)
-                content = sum(n for n, y in zip(sizes, labels, strict=True) if y)
+                share, content = field.share(sizes, features)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > 30 * counts[0]
-                share = content / counts[0] if counts[0] else 0.0
-                out.append((*counts, failed, not failed and share >= least_share, share, sum(labels)))
+                out.append((*counts, failed, not failed and share >= least, share, content))
             cols = list(zip(*out, strict=True)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names, "base_failed", "kept", "content_share", "n_content_lines"])
