@@ -1,8 +1,5 @@
 """Vectors of single stages."""
 
-import base64
-import itertools
-import struct
 import unicodedata
 
 import pytest
@@ -11,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.operators import decoders, normalizers, post_processors, pre_tokenizers
 from wordloom.operators.segment import segment
+from wordloom.plans import fixtures
 
 
 def one(spark, column, **values):
@@ -59,40 +57,10 @@ def test_unknown_types_are_skipped():
     assert post_processors.build({"type": "None"}) is None and decoders.build({"type": "CTC"}) is None
 
 
-def packed_map(entries):
-    """A character map in the packed form: a double array over bytes, then the replacements."""
-    blob, value = b"", {}
-    for k, v in entries.items():
-        value[k] = len(blob)
-        blob += v.encode() + b"\x00"
-    units = [0] * 4096
-    used = {0}
-
-    def place(prefix, at):
-        below = sorted({k[len(prefix)] for k in entries if k.startswith(prefix) and len(k) > len(prefix)})
-        leaf = prefix in entries
-        need = below + ([0] if leaf else [])
-        # an offset (a multiple of 256, so it fits the short form) whose children are all free
-        base = next(b for b in itertools.count(1) if all(((at ^ (b)) ^ c) not in used and 0 < ((at ^ b) ^ c) < len(units) for c in need))
-        spot = at ^ base
-        units[at] |= base << 10 | (0x100 if leaf else 0)
-        for c in need:
-            used.add(spot ^ c)
-        if leaf:
-            units[spot] = value[prefix] | 1 << 31
-        for c in below:
-            units[spot ^ c] = c
-        for c in below:
-            place(prefix + bytes([c]), spot ^ c)
-
-    place(b"", 0)
-    return base64.b64encode(struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + blob).decode()
-
-
 def test_character_map(spark):
     entries = {"é".encode(): "e", "▁".encode(): " ", b"ab": "X", "①".encode(): "1"}
-    assert normalizers.CharacterMap.read(packed_map(entries)).entries() == entries
-    stage = normalizers.build({"type": "Precompiled", "precompiled_charsmap": packed_map(entries)})
+    assert normalizers.CharacterMap.read(fixtures.packed_map(entries)).entries() == entries
+    stage = normalizers.build({"type": "Precompiled", "precompiled_charsmap": fixtures.packed_map(entries)})
     # a cluster takes its shortest known prefix, mark and all; longer clusters go character by character
     assert one(spark, stage(F.col("x")), x="é①ab▁́z") == "e1ab z"
     assert one(spark, stage(F.col("x")), x="▁́́́") == " ́́́"
@@ -211,3 +179,28 @@ def test_registered_stage(spark):
         assert one(spark, normalizers.build({"type": "Shout"})(F.col("x")), x="a") == "A"
     finally:
         del normalizers.REGISTERED["Shout"]
+
+
+@pytest.mark.parametrize(
+    "pattern,text,words",
+    [
+        (r"(a|b)\1", "xaabby", ["x", "aa", "bb", "y"]),
+        ("(?=x)", "axbx", ["axbx"]),
+        (r"\Qa.b\E", "xa.bya-b", ["x", "a.b", "ya-b"]),
+        ("x*", "axxb", ["a", "xx", "b"]),
+        (r"\b", "one two", ["one two"]),
+        ("(?<=a)(b)?", "abac", ["a", "b", "ac"]),
+        (r"\s", "", []),
+    ],
+)
+def test_split_patterns(spark, pattern, text, words):
+    stage = pre_tokenizers.build({"type": "Split", "pattern": {"Regex": pattern}})
+    assert one(spark, stage(F.col("t")), t=text) == words
+    # beside added tokens, as the stage of a sequence
+    nested = pre_tokenizers.build({"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": pattern}}, {"type": "Split", "pattern": {"Regex": "z*"}}]})
+    assert one(spark, nested.each(F.col("a")), a=[text, text]) == [words, words]
+
+
+def test_byte_run_marks_in_tokens(spark):
+    stage = decoders.build({"type": "ByteLevel"})
+    assert one(spark, stage(F.col("a")), a=["Ã", "©", "\ufdd2C3A9", "a"]) == ["é", "\ufdd2C3A9", "a"]

@@ -71,3 +71,14 @@ def byte_pieces(c: Column) -> Column:
 def byte_character(b: int) -> str:
     """The character that stands for a byte."""
     return _STAND_INS[_HIDDEN.index(b)] if b in _HIDDEN else chr(b)
+
+
+_BYTE_OF = {byte_character(b): b for b in range(256)}
+
+
+def byte_token(token: str) -> bytes | str:
+    """The bytes of a byte-level token; a token with another character stays as it is."""
+    try:
+        return bytes([_BYTE_OF[c] for c in token])
+    except KeyError:
+        return token

@@ -59,16 +59,16 @@ def metaspace(replacement: str = "_", prefixed: bool = True) -> Stage:
     return lambda tokens: F.transform(tokens, one)
 
 
-#: Noncharacters, which no text holds: before the bytes of a token, and around other tokens.
-_BYTES, _CUT = "\ufdd2", "\ufdd0\ufdd1"
+#: Noncharacters, which no text holds in a row: before the bytes of a token, before other tokens, and around these.
+_BYTES, _OTHER, _CUT = "\ufdd2", "\ufdd5", "\ufdd0\ufdd1"
 
 
 def _runs(tokens: Column, is_bytes: Callable[[Column], Column], to_hex: Callable[[Column], Column]) -> Column:
     """Neighbouring tokens of bytes become one text; others stay and end a run. Written in a row and cut again, so
     the work grows with the tokens and not with their square."""
-    marked = F.transform(tokens, lambda t: F.when(is_bytes(t), F.concat(F.lit(_BYTES), to_hex(t))).otherwise(F.concat(F.lit(_CUT), t, F.lit(_CUT))))
+    marked = F.transform(tokens, lambda t: F.when(is_bytes(t), F.concat(F.lit(_BYTES), to_hex(t))).otherwise(F.concat(F.lit(_CUT + _OTHER), t, F.lit(_CUT))))
     parts = F.filter(F.split(F.array_join(marked, ""), _CUT), lambda p: p != "")
-    return F.transform(parts, lambda p: F.when(p.startswith(_BYTES), utf8_or_empty(F.unhex(F.replace(p, F.lit(_BYTES), F.lit(""))))).otherwise(p))
+    return F.transform(parts, lambda p: F.when(p.startswith(_BYTES), utf8_or_empty(F.unhex(F.replace(p, F.lit(_BYTES), F.lit(""))))).otherwise(F.substr(p, F.lit(2))))
 
 
 def byte_level(tokens: Column) -> Column:

@@ -29,7 +29,7 @@ ASCII = "^[\\x00-\\x7F]*$"
 
 
 def in_python(fn: Callable[[str], str], skip_ascii: bool = True) -> Stage:
-    """A stage by Arrow UDFs; rows of plain ASCII skip them if it leaves such texts as they are."""
+    """A stage by Arrow UDFs; of rows of plain ASCII they get nulls only, if it leaves such texts as they are."""
 
     @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
@@ -42,8 +42,8 @@ def in_python(fn: Callable[[str], str], skip_ascii: bool = True) -> Stage:
     if not skip_ascii:
         return Stage(run, run_each)
     return Stage(
-        lambda c: F.when(c.rlike(ASCII), c).otherwise(run(c)),
-        lambda a: F.when(F.array_join(a, "").rlike(ASCII), a).otherwise(run_each(a)),
+        lambda c: F.coalesce(run(F.when(~c.rlike(ASCII), c)), c),
+        lambda a: F.coalesce(run_each(F.when(~F.array_join(a, "").rlike(ASCII), a)), a),
     )
 
 

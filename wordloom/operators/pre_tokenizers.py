@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import byte_level, find_all, replace_literal, unicode_pattern
 from ..sources import settings as s
 from .stage import Stage
 
-#: Unicode punctuation and all ASCII symbols.
+#: Fixed value: Unicode punctuation and all ASCII symbols.
 MARKS = "\\p{P}!-/:-@\\[-`{-~"
 #: Fixed value: the pattern of byte-level models.
 BYTE_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
-#: Two noncharacters, which no text holds, around a match.
-CUT = "\ufdd0\ufdd1"
+#: Two noncharacters each, which no text holds, before and after a match.
+CUT, END = "\ufdd0\ufdd1", "\ufdd3\ufdd4"
 
 
 def bert(c: Column) -> Column:
@@ -69,31 +66,14 @@ def _filled(parts: Column) -> Column:
 
 
 def split_regex(pattern: str) -> Stage:
-    """Matches and what lies between them."""
-    if regex.search(pattern, "") is not None:
-        # a pattern that can match nothing would cut everywhere; such matches do not count
-        compiled = regex.compile(pattern)
+    """Matches and what lies between them; matches of nothing do not count. The pattern gets no group of its own, so its
+    back-references keep their numbers."""
 
-        def parts(t: str | None) -> list[str] | None:
-            if t is None:
-                return None
-            out, at = [], 0
-            for m in compiled.finditer(t):
-                if m.end() > m.start():
-                    out += [t[at : m.start()], m[0]]
-                    at = m.end()
-            return [p for p in [*out, t[at:]] if p]
-
-        @F.arrow_udf(ArrayType(StringType()))
-        def cut(texts: pa.Array) -> pa.Array:
-            return pa.array([parts(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-        @F.arrow_udf(ArrayType(ArrayType(StringType())))
-        def cut_each(rows: pa.Array) -> pa.Array:
-            return pa.array([None if r is None else [parts(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+    def run(c: Column) -> Column:
+        marked = F.regexp_replace(c, unicode_pattern(pattern), f"{CUT}$0{END}")
+        return _filled(F.split(F.replace(marked, F.lit(CUT + END), F.lit("")), f"{CUT}|{END}"))
 
-        return Stage(cut, cut_each)
-    return Stage(lambda c: _filled(F.split(F.regexp_replace(c, f"{unicode_pattern('')}({pattern})", f"{CUT}$1{CUT}"), CUT)))
+    return Stage(run)
 
 
 def split_string(separator: str, invert: bool = False):
@@ -116,13 +96,7 @@ def sequence(stages) -> Stage:
             words = F.flatten(stage.each(words))
         return words
 
-    if all(stage.native for stage in stages):
-        return Stage(one)
-
-    def each(a: Column) -> Column:
-        raise ValueError("a sequence with a pattern that matches nothing needs encode_by_join beside added tokens")
-
-    return Stage(one, each)
+    return Stage(one)
 
 
 def build(config: dict | None, first: bool = True) -> Stage | None:

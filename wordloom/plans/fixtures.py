@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import struct
 from functools import lru_cache
+from itertools import count
 
 from ..functions.text import byte_character
 
@@ -15,6 +18,43 @@ GROUPS = (
 ).split()
 
 
+#: What the compiled map of the queries replaces.
+CHARACTER_MAP = {"é": "e", "ß": "ss", "ñ": "n", "①": "1", "▁": " ", "|": "/"}
+
+
+def packed_map(entries: dict[bytes, str]) -> str:
+    """A character map in its packed form: a double array over bytes, then the replacements."""
+    blob, value = b"", {}
+    for k, v in entries.items():
+        value[k] = len(blob)
+        blob += v.encode() + b"\x00"
+    units = [0] * 4096
+    used = {0}
+
+    def place(prefix: bytes, at: int) -> None:
+        below = sorted({k[len(prefix)] for k in entries if k.startswith(prefix) and len(k) > len(prefix)})
+        need = below + ([0] if prefix in entries else [])
+        # an offset whose children are all free
+        base = next(b for b in count(1) if all((at ^ b ^ c) not in used and 0 < (at ^ b ^ c) < len(units) for c in need))
+        spot = at ^ base
+        units[at] |= base << 10 | (0x100 if prefix in entries else 0)
+        used.update(spot ^ c for c in need)
+        if prefix in entries:
+            units[spot] = value[prefix] | 1 << 31
+        for c in below:
+            units[spot ^ c] = c
+        for c in below:
+            place(prefix + bytes([c]), spot ^ c)
+
+    place(b"", 0)
+    return base64.b64encode(struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + blob).decode()
+
+
+@lru_cache(None)
+def character_map() -> str:
+    return packed_map({k.encode(): v for k, v in CHARACTER_MAP.items()})
+
+
 @lru_cache(None)
 def wordpiece() -> dict:
     tokens = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -33,14 +73,16 @@ def wordpiece() -> dict:
 
 
 @lru_cache(None)
-def unigram() -> dict:
+def unigram(byte_fallback: bool = False) -> dict:
     # scores are quarters, so sums are exact in single precision and ties are real
     pieces = [["<unk>", 0.0], ["▁", -2.5]]
     pieces += [[c, -6.0 - (k % 8) * 0.25] for k, c in enumerate([*ASCII[:60], *ASCII[61:], *"äöüßéèñó"])]
     pieces += [[g, -3.0 - len(g) * 0.5 - (k % 6) * 0.25] for k, g in enumerate(GROUPS)]
     pieces += [["▁" + g, -3.25 - len(g) * 0.25 - (k % 5) * 0.5] for k, g in enumerate(GROUPS[:30])]
+    if byte_fallback:
+        pieces += [[f"<0x{b:02X}>", -30.0] for b in range(256)]
     return {
-        "model": {"type": "Unigram", "vocab": pieces, "unk_id": 0},
+        "model": {"type": "Unigram", "vocab": pieces, "unk_id": 0, "byte_fallback": byte_fallback},
         "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always"}]},
         "decoder": {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always"},
     }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from .functions.text import byte_token
 from .operators import decoders, kernels, normalizers, post_processors, pre_tokenizers
 from .operators.segment import segment
 from .sources.definition import Definition
@@ -143,6 +146,8 @@ class Tokenizer:
 
     def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         """The text of an array of ids; unknown ids are left out."""
+        if self.decoder is decoders.byte_level:
+            return _byte_texts(self.definition, skip_special_tokens)(ids)
         return F.array_join(self.decode_tokens(_tokens(self.definition, skip_special_tokens)(ids)), "")
 
     def decode_tokens(self, tokens: Column) -> Column:
@@ -174,13 +179,20 @@ class Tokenizer:
         return self.definition.vocab_size
 
     def register(self, spark: SparkSession, name: str) -> None:
-        """SQL functions ``<name>_tokenize`` of the words of a text and ``<name>_ids`` of tokens."""
-        spark.udf.register(f"{name}_tokenize", kernels.arrow_tokens(self.definition))
+        """SQL functions ``<name>_word_tokens`` of the words of a text, ``<name>_ids`` of tokens, and ``<name>_tokens`` of ids.
+
+        The stages before and after them are expressions, which SQL functions cannot hold: ``tokenize``, ``encode`` and ``decode``
+        are for Columns, and a view on them for SQL. ``<name>_tokenize`` is the older name of the first.
+        """
+        for kind in ("tokenize", "word_tokens"):
+            spark.udf.register(f"{name}_{kind}", kernels.arrow_tokens(self.definition))
         spark.udf.register(f"{name}_ids", _lookup(self.definition))
+        spark.udf.register(f"{name}_tokens", _tokens(self.definition, True))
 
 
 def _kernel(d: Definition):
-    """A UDF from array<struct<words, is_added>> to tokens."""
+    """A UDF from array<struct<words, is_added>> to tokens. A batch's distinct words are cut once, and a worker remembers them;
+    the tokens of all words are then gathered by number."""
     state: dict = {}
 
     @F.arrow_udf(ArrayType(StringType()))
@@ -188,42 +200,126 @@ def _kernel(d: Definition):
         if "fn" not in state:
             state["fn"], state["known"] = kernels.function(d), {}
         fn, known = state["fn"], state["known"]
-        out = []
-        for row in segments.to_pylist():
-            tokens: list[str] = []
-            for part in row or ():
-                if part["is_added"]:
-                    tokens += part["words"]
-                    continue
-                for w in part["words"] or ():
-                    t = known.get(w)
-                    if t is None:
-                        if len(known) >= kernels.CACHE:
-                            known.clear()
-                        t = known[w] = fn(w)
-                    tokens += t
-            out.append(None if row is None else tokens)
-        return pa.array(out, pa.list_(pa.string()))
+        rows, parts = _offsets(segments)
+        lists, added = parts.field("words"), parts.field("is_added")
+        spans, words = _offsets(lists)
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        cut = []
+        for w in distinct:
+            t = known.get(w)
+            if t is None:
+                if len(known) >= kernels.CACHE:
+                    known.clear()
+                t = known[w] = fn(w)
+            cut.append(t)
+        marked = np.repeat(added.to_numpy(zero_copy_only=False).astype(bool), np.diff(spans))
+        if marked.any():
+            # an added token is its own token, whatever the model makes of it as a word
+            cut += [[w] for w in distinct]
+            codes = codes + np.where(marked, len(distinct), 0)
+        return _gathered(segments, spans[rows], codes, cut, pa.string())
 
     return run
 
 
+def _offsets(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of an array of lists, beginning at 0; null lists are empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), lists.flatten()
+
+
+def _gathered(rows: pa.Array, bounds: np.ndarray, codes: np.ndarray, lists: list[list], kind: pa.DataType) -> pa.Array:
+    """One list a row: bounds cut the codes into rows, and each code stands for one of the lists. Null rows stay null."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    values = pa.array([x for one in lists for x in one], kind)
+    count = sizes[codes]
+    ends = np.concatenate(([0], np.cumsum(count)))
+    places = np.repeat(starts[codes] - ends[:-1], count) + np.arange(ends[-1])
+    return _lists(rows, ends[bounds], values.take(pa.array(places)))
+
+
+def _lists(rows: pa.Array, offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    mask = rows.is_null() if rows.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
+
+
 def _lookup(d: Definition):
     """A UDF from tokens to ids: the unknown token's id for those without, or else -1."""
     vocab, default = d.vocab, d.unk_token_id
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(tokens: pa.Array) -> pa.Array:
-        return pa.array([None if row is None else [vocab.get(t, default) for t in row] for row in tokens.to_pylist()], pa.list_(pa.int32()))
+        offsets, values = _offsets(tokens)
+        coded = values.dictionary_encode()
+        ids = np.array([vocab.get(t, default) for t in coded.dictionary.to_pylist()] + [default], dtype=np.int32)
+        codes = coded.indices.fill_null(len(ids) - 1).to_numpy(zero_copy_only=False)
+        return _lists(tokens, offsets, pa.array(ids[codes], pa.int32()))
 
     return run
 
 
+def _known(rows: pa.Array, by_id: dict) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of arrays of ids: the bounds of the rows among the known ids, their codes, and what each code stands for."""
+    offsets, values = _offsets(rows)
+    coded = values.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    there = np.array([i in by_id for i in distinct] + [False], dtype=bool)
+    codes = coded.indices.fill_null(len(distinct)).to_numpy(zero_copy_only=False)
+    held = there[codes]
+    bounds = np.concatenate(([0], np.cumsum(held)))[offsets]
+    return bounds, codes[held], [by_id.get(i) for i in distinct]
+
+
 def _tokens(d: Definition, skip_special: bool):
+    """A UDF from ids to tokens; unknown ids are left out."""
     by_id = {i: t for i, t in d.tokens_by_id.items() if not (skip_special and t in d.special)}
 
     @F.arrow_udf(ArrayType(StringType()))
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array([None if row is None else [by_id[i] for i in row if i in by_id] for row in ids.to_pylist()], pa.list_(pa.string()))
+        bounds, codes, tokens = _known(ids, by_id)
+        return _gathered(ids, bounds, codes, [[t] if t is not None else [] for t in tokens], pa.string())
+
+    return run
+
+
+def _byte_texts(d: Definition, skip_special: bool):
+    """A UDF from ids to the text of a byte-level model: neighbouring tokens of bytes are one text, empty if it is not UTF-8;
+    other tokens are texts of their own."""
+    by_id = {i: byte_token(t) for i, t in d.tokens_by_id.items() if not (skip_special and t in d.special)}
+
+    def text(parts: list) -> str:
+        out = []
+        for is_bytes, run in groupby(parts, lambda p: isinstance(p, bytes)):
+            if not is_bytes:
+                out += run
+                continue
+            try:
+                out.append(b"".join(run).decode("utf-8"))
+            except UnicodeDecodeError:
+                pass
+        return "".join(out)
+
+    @F.arrow_udf(StringType())
+    def run(ids: pa.Array) -> pa.Array:
+        bounds, codes, parts = _known(ids, by_id)
+        lacks = ids.is_null().to_pylist()
+        plain = all(isinstance(p, bytes) for p in parts if p is not None)
+        codes = codes.tolist()
+        out = []
+        for k, absent in enumerate(lacks):
+            own = [parts[c] for c in codes[bounds[k] : bounds[k + 1]]]
+            if absent:
+                out.append(None)
+                continue
+            if plain:
+                try:
+                    out.append(b"".join(own).decode("utf-8"))
+                except UnicodeDecodeError:
+                    out.append("")
+                continue
+            out.append(text(own))
+        return pa.array(out, pa.string())
 
     return run
