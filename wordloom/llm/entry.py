@@ -1,9 +1,7 @@
-"""Queries of the subpackage and their SQL."""
+"""Queries of the subpackage's operators and their SQL; the entry script adds the pipeline's."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import ann, langid, licenses, mixing, pii, quality, simhash, spm, warc, wrappers
 
 
@@ -19,7 +17,6 @@ def queries():
         "op8_spm": spm.op8_spm,
         "op9_licenses": licenses.op9_licenses,
         "op10_langid": langid.op10_langid,
-        "pipeline": corpus_pipeline.run,
     }
 
 
