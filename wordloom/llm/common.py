@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +51,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, lineage cut, sizes known to the planner."""
+#: Folders of tables that a ``passing`` block gives up at its end, innermost block last.
+_passing: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder: computed once, lineage cut, sizes known to the planner. It goes with the innermost
+    ``passing`` block; ``keep`` hands it to the block around that."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    owners = _passing[:-1] if keep else _passing
+    if owners:
+        owners[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Deletes at its end what was written in it and not kept. What leaves the block must not read from that."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _passing.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def words_in(col) -> "F.Column":
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

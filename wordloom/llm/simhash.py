@@ -19,9 +19,10 @@ pieces are dealt to separate cells, so one task never holds more than two pieces
 The pipeline's stage (``alike``) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such
 sets' fingerprints differ in about ten bits of 64 and in over ``REACH`` with a probability below 1e-6, but blocks of bits
 cannot partition so wide a search; there buckets are bands of minima of hashes over the set. In each bucket the index finds
-the pairs within REACH bits, and 100 minima tell which are likely enough (``LIKELY``) to be looked at. What these connect is
+the pairs within REACH bits, and 56 minima tell which are likely enough (``LIKELY``) to be looked at. What these connect is
 searched by the index once more, with the sets at hand: only pairs whose sets have the similarity are joined. A link at
-0.8 is missed with a probability of about 0.0004 (by all bands) and 0.0001 (by the minima); no pair is listed.
+0.8 is missed with a probability of about 0.0006 (by all bands) and 0.0003 (by the minima), one at 0.85 with less than 0.0001;
+what other links connect is not lost. No pair is listed.
 
 Edge cases: null and empty texts have no shingle and the fingerprint zero, which links like any other; a
 text of fewer words than a shingle has the whole sequence as its one shingle; rows that repeat a doc_id are
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, written
+from .common import passing, slices, small_batches, table, written
 
 SEED = 42
 SHINGLE = 4
@@ -261,8 +262,7 @@ def searching(names_of, links_of, limit: int, rows: int = 200_000, size: int = 1
             moved = np.flatnonzero(label != np.arange(len(c)))
             names = names_of(t)
             x, y = names[order[moved]], names[order[label[moved]]]
-            kind = t.schema.field("name").type if "name" in t.column_names else pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in slices(batches, 10_000):
             if not batch.num_rows:
@@ -307,13 +307,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS, blocks: int = BLOCKS, match: int = MATCH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp, component_id: the smallest doc_id that a document reaches."""
-    fps = written(fingerprints(docs, shingle, seed), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    comp = components(edges(distinct, max_bits, blocks, match))
-    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "simhash-roots")
-    best = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-best")
-    names = written(named.join(best, "root").select("fp", "component_id"), "simhash-names")
+    with passing(docs.sparkSession):
+        fps = written(fingerprints(docs, shingle, seed), "simhash-fps", keep=True)
+        distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+        comp = components(edges(distinct, max_bits, blocks, match))
+        named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        named = written(named, "simhash-roots")
+        best = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-best")
+        names = written(named.join(best, "root").select("fp", "component_id"), "simhash-names", keep=True)
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -329,10 +330,10 @@ SET_SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits within which fingerprints of like sets lie, and the share of equal minima from which a pair is looked at.
 REACH = 26
-LIKELY = 0.65
+LIKELY = 0.6
 #: Bands of a signature, and minima of a band (one byte each).
-BANDS = 20
-BAND = 5
+BANDS = 14
+BAND = 4
 #: Sets of one group that a cell holds from one piece.
 SET_CELL = 4096
 
@@ -365,8 +366,8 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held (digest of the text), name (of its words in lower case), fp, sig, hashes (32 bits of
-    each shingle's, ascending)."""
+    """docs(doc_id, text) -> doc_id, held (what tells texts of one doc_id apart), name (digest of the words in lower case), fp and
+    sig of the set of shingles (null if there is none)."""
 
     def run(batches):
         for b in slices(batches):
@@ -374,20 +375,45 @@ def sketches(docs: DataFrame) -> DataFrame:
             for t in b.column(1):
                 words = (t.as_py() or b"").lower().split()
                 found = shingle_set(words)
-                few = np.unique((found >> np.uint64(32)).astype(np.uint32))
-                out.append((xxhash.xxh3_128_digest(b" ".join(words)), majority(found), signature(found), few.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "held", "name", "fp", "sig", "hashes"])
+                out.append((name_of(words), majority(found) if words else None, signature(found) if words else None))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            kinds = [pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "held", "name", "fp", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), held(F.col("text")).alias("held"))
-    return texts.mapInArrow(run, f"doc_id {kind}, held string, name binary, fp long, sig binary, hashes binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, held binary, name binary, fp long, sig binary")
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """docs(text) -> name, hashes: 32 bits of each shingle's, ascending, as bytes. A task gives a name once, as far as it
+    remembers."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for b in slices(batches):
+            names, out = [], []
+            for t in b.column(0):
+                words = (t.as_py() or b"").lower().split()
+                name = name_of(words)
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    out.append(np.unique((shingle_set(words) >> np.uint64(32)).astype(np.uint32)).tobytes())
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(out, pa.binary())], names=["name", "hashes"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "name binary, hashes binary")
+
+
+def name_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def held(text):
     """What tells texts of one doc_id apart."""
-    return F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))))
 
 
 def _bytes(column, width: int) -> np.ndarray:
@@ -434,27 +460,35 @@ def jaccard(x, y) -> float:
     return n / (len(a) + len(b) - n)
 
 
-def _names(t: pa.Table) -> np.ndarray:
-    return np.array(t.column("name").to_pylist(), dtype=object)
+def _ids(t: pa.Table) -> np.ndarray:
+    return t.column("id").to_numpy()
 
 
-def alike(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """sketched (see ``sketches``) -> name, root: the smallest name that each linked name reaches."""
-    distinct = sketched.groupBy("name").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.max(F.length("hashes")).alias("n"))
-    distinct = written(distinct.filter("n > 0").drop("n"), "alike-distinct")
+def alike(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs(text), sketched (see ``sketches``) -> name, root: the same for names that links connect; names without links are left out.
+
+    Between steps only numbers of names travel. The sets of what may be linked are made when they are known: the join
+    moves one set a name, whatever the planner thinks of the other side's size, so that the plan is that of large tables.
+    """
+    distinct = sketched.filter("sig IS NOT NULL").groupBy("name").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"))
+    # numbers are unique, and final once the table is written
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "alike-distinct")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * BAND + 1, BAND)) for k in range(BANDS)])
-    banded = distinct.select("name", F.explode(bands).alias("key"))
+    banded = distinct.select("id", F.explode(bands).alias("key"))
     # names whose band nobody shares have nothing to be compared with; only keys are shuffled to tell
-    shared = written(banded.groupBy("key").count().filter("count > 1").select("key"), "alike-shared")
-    asked = written(banded.join(shared, "key", "left_semi"), "alike-asked")
-    keyed = asked.join(distinct, "name")
-    likely = by_root(celled(keyed, CELL, "alike-large")).mapInArrow(searching(_names, _likely, REACH), "a binary, b binary")
+    shared = written(banded.select("key").groupBy("key").count().filter("count > 1").select("key"), "alike-shared")
+    asked = written(banded.join(shared.hint("merge"), "key", "left_semi"), "alike-asked")
+    keyed = asked.join(distinct.select("id", "fp", "sig").hint("merge"), "id")
+    likely = by_root(celled(keyed, CELL, "alike-large")).mapInArrow(searching(_ids, _likely, REACH), "a long, b long")
     near = written(components(likely.filter("a != b").distinct()), "alike-likely")
-    near = written(near.select("node", "root").unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "alike-members")
-    # copies of one text have one set
-    sets = sketched.join(near, F.col("name") == F.col("node")).groupBy("name").agg(F.min("root").alias("key"), F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("hashes").alias("hashes"))
-    checked = by_root(celled(written(sets, "alike-sets"), SET_CELL, "alike-cells")).mapInArrow(searching(_names, _alike(similarity), REACH), "a binary, b binary")
-    return components(checked.filter("a != b").distinct()).select(F.col("node").alias("name"), "root")
+    near = near.select("node", "root").unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    near = written(near.join(distinct, F.col("node") == F.col("id")).select("name", "id", "fp", "sig", F.col("root").alias("key")), "alike-members")
+    made = sets(docs).groupBy("name").agg(F.min("hashes").alias("hashes"))
+    made = written(made.join(near.hint("merge"), "name").select("key", "id", "fp", "sig", "hashes"), "alike-sets")
+    checked = by_root(celled(made, SET_CELL, "alike-cells")).mapInArrow(searching(_ids, _alike(similarity), REACH), "a long, b long")
+    linked = written(components(checked.filter("a != b").distinct()), "alike-linked")
+    linked = linked.select("node", "root").unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    return linked.join(near.select("id", "name"), F.col("node") == F.col("id")).select("name", "root")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -462,21 +496,24 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest doc_id. Documents are rows: rows that share a doc_id, or have none, are told apart by their texts, and of those
     that share both the smallest by its columns stays. Texts without words are one group.
 
-    The texts are joined with what goes, which is far less than what stays: while it is small it is broadcast, and no
-    text moves.
+    What goes is joined with the texts by a sort: it grows with the table, so nothing is broadcast.
     """
     small_batches(spark)
-    sketched = written(sketches(docs), "alike-sketches")
-    rows = written(sketched.groupBy("name", "doc_id", "held").agg(F.count(F.lit(1)).alias("n")), "alike-rows")
-    roots = written(alike(sketched), "alike-roots")
-    rows = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    rows = written(rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "held")), "alike-ordered")
-    first = written(rows.groupBy("root").agg(F.min("order").alias("first")), "alike-first")
-    stays = F.col("order") == F.col("first")
-    marked = written(rows.join(first, "root").select(F.col("doc_id").alias("own_id"), F.col("held").alias("own_text"), stays.alias("stays"), "n"), "alike-marked")
+    with passing(spark):
+        sketched = written(sketches(docs), "alike-sketches")
+        rows = written(sketched.groupBy("name", "doc_id", "held").agg(F.count(F.lit(1)).alias("n")), "alike-rows")
+        roots = written(alike(docs, sketched), "alike-roots")
+        group = F.struct(F.col("root"), F.when(F.col("root").isNull(), F.col("name")).alias("name"))
+        order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "held")
+        rows = written(rows.join(roots, "name", "left").select(group.alias("group"), order.alias("order"), "n"), "alike-ordered")
+        first = written(rows.groupBy("group").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")), "alike-first")
+        # most rows are alone in their group, and need no more
+        marked = rows.join(first.filter("all > 1"), "group")
+        marked = written(marked.select(F.col("order.doc_id").alias("own_id"), F.col("order.held").alias("own_text"), (F.col("order") == F.col("first")).alias("stays"), "n"), "alike-marked")
+        goes = written(marked.filter("NOT stays").select("own_id", "own_text"), "alike-goes", keep=True)
+        twice = written(marked.filter("stays AND n > 1").select("own_id", "own_text"), "alike-twice", keep=True)
     hit = docs["doc_id"].eqNullSafe(F.col("own_id")) & (held(docs["text"]) == F.col("own_text"))
-    kept = docs.join(marked.filter("NOT stays"), hit, "left_anti")
-    twice = written(marked.filter("stays AND n > 1"), "alike-twice")
+    kept = docs.join(goes.hint("merge"), hit, "left_anti")
     if not twice.isEmpty():
         again = kept.join(twice, hit, "left_semi")
         once = again.groupBy("doc_id", held(F.col("text")).alias("held")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
