@@ -146,7 +146,7 @@ def phone(value: str, key: bytes, inverse: bool = False) -> str | None:
     d = _digits(value)
     international = value.startswith("+")
     north = (len(d) == 11 and d[0] == "1") or (len(d) == 10 and not international)
-    if north:
+    if north and not (d[0] == "0" and "(" in value):
         lead, d = d[:-10], d[-10:]
         valid = lambda s: s[0] in "23456789" and s[3] in "23456789"
         assigned = valid(d)
@@ -156,9 +156,15 @@ def phone(value: str, key: bytes, inverse: bool = False) -> str | None:
         x = int(d)
         while True:
             x = feistel(x, 10**10, key, "phone:1", inverse)
-            if valid(f"{x:010d}") == assigned:
+            new = f"{x:010d}"
+            if valid(new) == assigned and (new[0] == "0") == (d[0] == "0"):
                 break
         return _put_back(value, lead + f"{x:010d}")
+    if not international and "(" in value and 8 <= len(d) <= 12 and d.strip("0"):
+        # a national number: its area code may begin with a trunk zero, which stays
+        rest = d.lstrip("0")
+        lead, low = d[: len(d) - len(rest)], 10 ** (len(rest) - 1)
+        return _put_back(value, lead + str(low + feistel(int(rest) - low, 9 * low, key, f"phone:0:{len(lead)}:{len(rest)}", inverse)))
     if not international or not 8 <= len(d) <= 15 or d[0] == "0":
         return None
     lead, rest = d[:2], d[2:]
