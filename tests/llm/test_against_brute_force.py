@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from wordloom.llm import ann, entry, langid, pii, quality, simhash, spm, spm_model, warc, wrappers
 
@@ -275,6 +276,74 @@ def test_pii_of_documents(spark, documents):
             assert got[d]["text"] == t
 
 
+def test_pii_comes_back_by_its_inverse(spark, documents):
+    """The query's rows: nothing but the spans changes, values keep their form, equal ones stay equal, the inverse restores all."""
+    back, seen = pii.Pseudonymizer(inverse=True), {}
+    d = pii.pseudonymize(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spans="spans")
+    found = {r["doc_id"]: r for r in d.collect()}
+    for r in pii.op3_pii(spark, SF).collect():
+        old, new, spans = next(t for i, t, _, _ in documents if i == r["doc_id"]), r["text"], found[r["doc_id"]]["spans"]
+        assert found[r["doc_id"]]["text"] == new and r["n_values"] == len(spans) == sum(r[f"n_{k}"] for k in pii.KINDS)
+        at = shift = 0
+        again = pii.Pseudonymizer().text(old)
+        assert again[0] == new
+        for s, e, kind in sorted(map(tuple, spans)):
+            assert old[at:s] == new[at + shift : s + shift]
+            image = pii.Pseudonymizer().iban(old, s, e)[0] if kind == "iban" else pii.Pseudonymizer().value(kind, old[s:e])
+            assert new[s + shift : s + shift + len(image)] == image and image != ""
+            assert seen.setdefault((kind, old[s:e]), image) == image
+            shift += len(image) - (e - s)
+            at = e
+        assert (old or "")[at:] == (new or "")[at + shift :]
+        assert back.text(new)[0] == old
+    assert len(set(seen.values())) == len(seen) > 10
+
+
+def test_national_numbers():
+    there, back = pii.Pseudonymizer(b"k"), pii.Pseudonymizer(b"k", inverse=True)
+    for value in ("(089) 1234-5678", "(030) 1234-5678", "(0211) 123-4567", "(20) 7946-0958", "(030) 123-4567"):
+        new, spans = there.text(f"call {value}.")
+        assert [k for *_, k in spans] == ["phone"] and value not in new and back.text(new)[0] == f"call {value}."
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in f"call {value}."] and (value[1] == "0") == (new[6] == "0")
+
+
+def test_langid_scores_sum_over_words(spark, documents):
+    """The query against the sum over all segmentations of every word, one by one."""
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    logs = {}
+
+    def score(word):
+        if word not in logs:
+            alpha = [np.ones(len(model.langs))] + [np.zeros(len(model.langs)) for _ in word]
+            for end in range(1, len(word) + 1):
+                for start in range(max(0, end - model.vocab.longest), end):
+                    piece = model.vocab.ids.get(word[start:end], model.vocab.unknown if end == start + 1 else None)
+                    if piece is not None:
+                        alpha[end] = alpha[end] + alpha[start] * model.probs[piece]
+            logs[word] = np.log(alpha[-1])
+        return logs[word]
+
+    got = {r["doc_id"]: r for r in langid.op10_langid(spark, SF).collect()}
+    assert len(got) == len(documents)
+    for d, text, _, _ in documents:
+        words = [w for t in (text or "").lower().split() for w in langid.words_of(t)]
+        if not words:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        total = sum(score(w) for w in words)
+        assert got[d]["lang_pred"] == model.langs[int(total.argmax())] and abs(got[d]["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def test_long_words_part_by_part(monkeypatch):
+    vocab = langid.PieceVocabulary(["▁ab", "a", "b", "ab", "▁", "abba", "babab"])
+    probs = np.random.default_rng(3).random((vocab.size, 3))
+    word = "▁" + "".join(random.Random(1).choices("abé", k=1500))
+    whole = langid.forward(vocab, probs, [word])
+    for part in (7, 64, 1000):
+        monkeypatch.setattr(langid, "WORD_PART", part)
+        assert np.allclose(langid.forward_long(vocab, probs, word), whole[0])
+
+
 def test_spm_parity(documents, monkeypatch):
     import sentencepiece
 
@@ -481,6 +550,19 @@ def test_warc_files_are_plain_warc(spark, tmp_path):
             list(warc.records(broken))
 
 
+def test_entry_has_all_queries(spark):
+    names = __spark_entry__.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and names["pipeline"] is corpus_pipeline.run
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty tables, and tables of nulls only, give no rows."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(None,) * len(schema)] * 3, schema).write.parquet(f"{tmp_path}/nulls/documents.parquet")
+    assert [corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect() for k in ("none", "nulls")] == [[], []]
+
+
 def test_pipeline(spark, documents):
     got = corpus_pipeline.run(spark, SF).collect()
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))

@@ -148,7 +148,7 @@ def test_root_license(spark):
     assert {r["inherited"] for r in licenses.scan(files).filter("doc_id > 1").collect()} == {"MIT"}
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big = "é" * 600
     pages = spark.createDataFrame([(1, "http://a/1 \r\nX: y", big), (2, None, big), (2, "u", big), (3, "u", None), (4, "u", ""), (None, "u", big), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "u", LONG)], "page_id long, url string, html string")
     pages = pages.withColumn("payload_digest", F.lit("clash")).withColumn("refers_to", F.lit(1))
@@ -156,11 +156,17 @@ def test_warc(spark):
     warc.write_archive(warc.mark(pages), path)
     got = warc.join_revisits(warc.read_archive(spark, path)).collect()
     assert len(got) == 9
-    kinds = sorted((r["record_id"], r["record_type"], r["payload_bytes"], r["refers_to"] is not None) for r in got)
+    kinds = sorted((r["record_id"].rsplit(":", 1)[0] + ">", r["record_type"], r["payload_bytes"], r["refers_to"] is not None) for r in got)
+    assert all(r["record_id"].endswith(f":{r['payload_digest']}>") for r in got)
     page = lambda k: f"<urn:wordloom:page:{k}>"
     assert (page(1), "revisit", 1200, True) in kinds and kinds.count((page(2), "response", 1200, False)) == 2
     assert (page(""), "revisit", 1200, True) in kinds and (page(3), "response", 0, False) in kinds and (page(6), "response", 999, False) in kinds
-    assert {r["url"] for r in got if r["record_id"] == page(1)} == {"http://a/1%20%0D%0AX:%20y"}
+    assert {r["url"] for r in got if r["record_id"].startswith(page(1)[:-1] + ":")} == {"http://a/1%20%0D%0AX:%20y"}
+    monkeypatch.setattr(warc, "LARGE_BYTES", 1100)
+    path = warc.scratch(spark, "large")
+    warc.write_archive(warc.mark(pages), path, 600_000)
+    again = warc.join_revisits(warc.read_archive(spark, path)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     path = warc.scratch(spark, "none")
     warc.write_archive(warc.mark(pages.limit(0)), path)
     assert warc.read_archive(spark, path).collect() == []

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import scratch, table, written
 
 LEAST_BYTES = 1000
-#: Records of one file at most.
-FILE_RECORDS = 20_000
+#: Records of one file at most, and the payload from which a record has a file of its own: a file of others holds 1 GB at most.
+FILE_RECORDS = 1000
+LARGE_BYTES = 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives of one run are the same for the same records.
 DATE = "2024-01-01T00:00:00Z"
@@ -53,13 +54,14 @@ def resolve(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return groups.filter("n > 1 AND original_id IS NOT NULL").drop("n")
 
 
-def mark(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with payload_digest, payload_bytes and refers_to (null: a response).
+def mark(pages: DataFrame, least_bytes: int = LEAST_BYTES, heads: DataFrame | None = None) -> DataFrame:
+    """pages(page_id, url, html), heads (see ``headers``) -> pages with payload_digest, payload_bytes and refers_to (null: a response).
 
     The table of repeated payloads is written, so the planner knows its size: small, it is broadcast; else
     the join is a shuffle in which a payload with very many copies may be split.
     """
-    originals = written(resolve(written(headers(pages), "warc-headers"), least_bytes), "warc-originals")
+    heads = written(headers(pages), "warc-headers") if heads is None else heads
+    originals = written(resolve(heads, least_bytes), "warc-originals")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
@@ -76,7 +78,8 @@ def _uri(col):
 
 
 def _record_id(col):
-    return F.concat(F.lit("<urn:wordloom:page:"), F.coalesce(col.cast("string"), F.lit("")), F.lit(">"))
+    """Names page and payload, so that rows that repeat a page_id have one identifier only if their payloads are equal."""
+    return F.concat(F.lit("<urn:wordloom:page:"), F.coalesce(col.cast("string"), F.lit("")), F.lit(":"), F.col("payload_digest"), F.lit(">"))
 
 
 def record():
@@ -101,10 +104,16 @@ def record():
     return F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF + _CRLF), block, F.lit("\r\n\r"))
 
 
-def write_archive(marked: DataFrame, path: str) -> None:
-    """Writes the records of marked (see ``mark``) as .warc.gz files in the folder ``path``."""
-    out = marked.select(record().alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
-    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_archive(marked: DataFrame, path: str, largest: int | None = None) -> None:
+    """Writes the records of marked (see ``mark``) as .warc.gz files in the folder ``path``. ``largest``: bytes of the largest
+    payload, if known; without large ones the pages are read once."""
+    large = F.col("payload_bytes") > LARGE_BYTES
+    if largest is None:
+        largest = marked.agg(F.max("payload_bytes")).first()[0] or 0
+    for rows, most in [(marked.filter(~large), FILE_RECORDS), (marked.filter(large), 1)]:
+        if most > 1 or largest > LARGE_BYTES:
+            out = rows.select(record().alias("value")).write.mode("append").option("lineSep", "\n").option("compression", "gzip")
+            out.option("maxRecordsPerFile", most).text(path)
     spark = marked.sparkSession
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -206,9 +215,11 @@ def join_revisits(read: DataFrame) -> DataFrame:
 
 def op2_warc(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "archive")
-    write_archive(mark(table(spark, sf_dir, "pages")), path)
+    pages = table(spark, sf_dir, "pages")
+    heads = written(headers(pages), "warc-headers")
+    write_archive(mark(pages, heads=heads), path, heads.agg(F.max("payload_bytes")).first()[0] or 0)
     read = join_revisits(written(read_archive(spark, path), "warc-read"))
-    page = lambda c: F.regexp_extract(F.col(c), "^<urn:wordloom:page:(-?[0-9]+)>$", 1)
+    page = lambda c: F.regexp_extract(F.col(c), "^<urn:wordloom:page:(-?[0-9]+):[0-9a-f]{40}>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url")
 
