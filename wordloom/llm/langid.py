@@ -11,7 +11,8 @@ piece falls back to its own unknown piece. A word is scored once for all its occ
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled document
 everything is ``und``; a null doc_id is not held out and not learned from; repeated rows get equal results;
-long texts are used whole; other columns are left out.
+long texts are used whole; a word of any length is scored whole, part by part in bounded memory, and learned from
+in parts of ``LEARNED_PART`` letters; other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ CACHE = 100_000
 MARK = "▁"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _EDGES = ".,;:!?()[]{}\"'#*$%&|<>-_=+0123456789"
+#: Letters of a word that are scored at a time, and of a part by which a longer word is learned.
+WORD_PART = 1024
+LEARNED_PART = 256
 #: Factor of the substrings' hash.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,6 +109,10 @@ def forward(vocab: PieceVocabulary, probs: np.ndarray, words: list[str]) -> np.n
     for k, w in enumerate(words):
         where.setdefault(len(w), []).append(k)
     for n, rows_of in where.items():
+        if n > 2 * WORD_PART:
+            for k in rows_of:
+                out[k] = forward_long(vocab, probs, words[k])
+            continue
         for at in range(0, len(rows_of), 4096):
             part = rows_of[at : at + 4096]
             alpha = np.zeros((n + 1, len(part), probs.shape[1]))
@@ -124,6 +132,33 @@ def forward(vocab: PieceVocabulary, probs: np.ndarray, words: list[str]) -> np.n
     return out
 
 
+def forward_long(vocab: PieceVocabulary, probs: np.ndarray, word: str) -> np.ndarray:
+    """The same for one word of any length, part by part: a part needs what is known at its start, as far as a piece reaches."""
+    reach = vocab.longest
+    carry, scale = np.zeros((reach + 1, probs.shape[1])), np.zeros(probs.shape[1])
+    carry[0] = 1.0
+    for at in range(0, len(word), WORD_PART):
+        size = min(WORD_PART, len(word) - at)
+        alpha = np.zeros((size + reach + 1, probs.shape[1]))
+        alpha[: reach + 1] = carry
+        done = 0
+        for start, end, _, pieces in vocab.lattice([word[at : at + size + reach - 1]]):
+            if start >= size:
+                break
+            if start >= done + 24:
+                window = alpha[start : start + reach + 1]
+                top = np.maximum(window.max(axis=0), 1e-300)
+                window /= top
+                scale += np.log(top)
+                done = start
+            alpha[end] += alpha[start] * probs[pieces[0]]
+        carry = alpha[size : size + reach + 1]
+        top = np.maximum(carry.max(axis=0), 1e-300)
+        carry = carry / top
+        scale += np.log(top)
+    return np.log(np.maximum(carry[0], 1e-300)) + scale
+
+
 def expected_counts(vocab: PieceVocabulary, probs: np.ndarray, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur ``times`` times; probs[piece] of one language."""
     total = np.zeros(vocab.size)
@@ -230,7 +265,7 @@ def fit(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, max_docs: in
         for b in slices(batches, 500):
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(w for t in text.lower().split() for w in words_of(t))
+                seen.setdefault(lang, Counter()).update(w[k : k + LEARNED_PART] for t in text.lower().split() for w in words_of(t) for k in range(0, len(w), LEARNED_PART))
             rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
             if rows:
                 k, w, n = zip(*rows, strict=True)
