@@ -19,9 +19,9 @@ pieces are dealt to separate cells, so one task never holds more than two pieces
 The pipeline's stage (``alike``) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such
 sets' fingerprints differ in about ten bits of 64 and in over ``REACH`` with a probability below 1e-6, but blocks of bits
 cannot partition so wide a search; there buckets are bands of minima of hashes over the set. In each bucket the index finds
-the pairs within REACH bits, and 56 minima tell which are likely enough (``LIKELY``) to be looked at. What these connect is
+the pairs within REACH bits, and 80 minima tell which are likely enough (``LIKELY``) to be looked at. What these connect is
 searched by the index once more, with the sets at hand: only pairs whose sets have the similarity are joined. A link at
-0.8 is missed with a probability of about 0.0006 (by all bands) and 0.0003 (by the minima), one at 0.85 with less than 0.0001;
+0.8 is missed with a probability of about 0.00003 (by all bands) and 0.00002 (by the minima);
 what other links connect is not lost. No pair is listed.
 
 Edge cases: null and empty texts have no shingle and the fingerprint zero, which links like any other; a
@@ -332,7 +332,7 @@ SIMILARITY = 0.8
 REACH = 26
 LIKELY = 0.6
 #: Bands of a signature, and minima of a band (one byte each).
-BANDS = 14
+BANDS = 20
 BAND = 4
 #: Sets of one group that a cell holds from one piece.
 SET_CELL = 4096
