@@ -39,6 +39,8 @@ SLICE = 2048
 THREADS = 2
 #: Words that a worker remembers.
 WORDS = 1_000_000
+#: The same in the pipeline, whose executors hold the memory of earlier stages too.
+STAGE_WORDS = 200_000
 
 
 def build(m: spm_model.SpmModel, normalise: bool = True):
@@ -108,9 +110,11 @@ def cuttable(m: spm_model.SpmModel) -> bool:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, data: bytes, threads: int = THREADS):
+    def __init__(self, data: bytes, threads: int = THREADS, words: int | None = None):
         import sentencepiece
 
+        #: Words that are remembered; WORDS if None.
+        self.limit = words
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         m = self.model = spm_model.parse(data)
@@ -174,7 +178,7 @@ class Codec:
         distinct, word = coded.dictionary, coded.indices.to_numpy()
         place = pc.index_in(distinct, value_set=self.words)
         if place.null_count:
-            if len(self.words) + place.null_count > WORDS:
+            if len(self.words) + place.null_count > (self.limit or WORDS):
                 self._forget()
             else:
                 distinct_new = distinct.filter(place.is_null())
@@ -232,17 +236,18 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = spm_model.DEFAULT_MODEL, verify: bool = False, words: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids array<int>; with ``verify`` also round_trip (the decoded ids are the text)
     and parity (the rebuilt model gave the ids itself; otherwise they are SentencePiece's, which differed).
 
-    The model's bytes (a vocabulary, whose size does not depend on the documents) go with the tasks.
+    The model's bytes (a vocabulary, whose size does not depend on the documents) go with the tasks. A worker remembers as many
+    ``words``.
     """
     data = _read(model_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(data)
+        codec = Codec(data, words=words)
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             held = [k for k, t in enumerate(texts) if t is not None]
@@ -291,5 +296,5 @@ def op8_spm(spark, sf_dir) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the ids of every document, whether they decode to its text, and parity."""
     small_batches(spark)
-    e = encode(docs, verify=True)
+    e = encode(docs, verify=True, words=STAGE_WORDS)
     return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "parity")
