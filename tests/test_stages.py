@@ -1,5 +1,6 @@
 """Vectors of single stages."""
 
+# Short inputs and the results that a tokenizer of this format must give for them.
 import unicodedata
 
 import pytest

@@ -1,5 +1,7 @@
 """Definitions, kernels and the facade."""
 
+# Short inputs and the results that a tokenizer of this format must give for them.
+
 import itertools
 import json
 import random
