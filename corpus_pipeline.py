@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
+
+Edge cases: null and empty texts are in no language, so the first stage drops them; rows that share a doc_id, or have none, are
+documents of their own in every stage, but of rows with one text the second keeps one; a null source is a source like any other; an empty
+table, or one of nulls only, gives no rows; further columns pass through the first four stages, except that the mix refuses names
+that begin with mix_.
 """
 
 from __future__ import annotations
