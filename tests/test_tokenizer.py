@@ -259,3 +259,13 @@ def test_streams(spark, tmp_path):
 def test_prefixes(spark):
     vocab = spark.createDataFrame([("cat",), ("carp",), ("car",)], "token string")
     assert [r["token"] for r in kernels.prefixes(vocab, F.lit("carpooling")).collect()] == ["car", "carp"]
+
+
+def test_decode_by_join_sends_the_vocabulary_and_cuts_once(spark):
+    # the planner took the exploded ids for the smaller side, and computed them once more to filter rows
+    tok = Tokenizer.from_dict(fixtures.wordpiece())
+    x = spark.range(3).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("the in"), F.lit(""), F.lit(None)), F.col("id").cast("int") + 1).alias("text"))
+    out = tok.decode_by_join(x.select("doc_id", tok.encode(F.col("text")).alias("ids")), "doc_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and plan.count("ArrowEvalPython [") == 2
+    assert [tuple(r) for r in out.collect()] == [(0, "the in")]
