@@ -205,3 +205,16 @@ def test_split_patterns(spark, pattern, text, words):
 def test_byte_run_marks_in_tokens(spark):
     stage = decoders.build({"type": "ByteLevel"})
     assert one(spark, stage(F.col("a")), a=["Ã", "©", "\ufdd2C3A9", "a"]) == ["é", "\ufdd2C3A9", "a"]
+
+
+def test_slices_bound_what_a_udf_holds():
+    import pyarrow as pa
+
+    from wordloom.operators import stage
+
+    rows = pa.array([["x" * (k % 97)] * (k % 300) if k % 7 else None for k in range(3000)], pa.list_(pa.string()))
+    seen = []
+    out = stage.in_slices(lambda part: seen.append(part.nbytes) or part, rows)
+    assert out.equals(rows) and len(seen) > 1 and max(seen) <= stage.SLICE
+    assert stage.in_slices(lambda part: part, rows.slice(0, 0)).equals(rows.slice(0, 0))
+    assert stage.in_slices(lambda part: part, pa.array(["x" * stage.SLICE, "y" * stage.SLICE])).to_pylist() == ["x" * stage.SLICE, "y" * stage.SLICE]
