@@ -207,6 +207,32 @@ def test_byte_run_marks_in_tokens(spark):
     assert one(spark, stage(F.col("a")), a=["Ã", "©", "\ufdd2C3A9", "a"]) == ["é", "\ufdd2C3A9", "a"]
 
 
+def test_character_map_looks_for_graphemes_only_where_they_may_be(monkeypatch):
+    import random
+
+    import regex
+
+    entries = {k.encode(): v for k, v in {"é": "e", "ß": "ss", "|": "/", "e": "E", "e\u0301": "x", "①": "1", "\r": "R", "\n": "N", "가": "ga", "\u0600": "p"}.items()}
+
+    def plainly(text):
+        shortest = lambda key: next((entries[key[:k]] for k in range(1, len(key) + 1) if key[:k] in entries), None)
+        out = []
+        for cluster in regex.findall(r"\X", text):
+            whole = shortest(cluster.encode()) if len(cluster.encode()) < 6 else None
+            out += [whole] if whole is not None else [c if (one := shortest(c.encode())) is None else one for c in cluster]
+        return "".join(out)
+
+    run, draw = normalizers.mapped(entries), random.Random(1)
+    letters = ["e", "a", " ", "|", "\u0301", "é", "ß", "\r", "\n", "①", "가", "ᄀ", "ᅡ", "\u0600", "🇩", "🇪", "👩", "\u200d", "\x00", "x"]
+    for _ in range(5000):
+        text = "".join(draw.choices(letters, k=draw.randrange(9)))
+        assert run(text) == plainly(text), text
+    seen, find = [], regex.findall
+    monkeypatch.setattr(normalizers.regex, "findall", lambda p, t: seen.append(len(t)) or find(p, t))
+    text = "plain taxt " * 1000 + "é!" + " plain" * 1000
+    assert run(text) == text.replace("e", "E").replace("é", "e") and sum(seen) < 100
+
+
 def test_slices_bound_what_a_udf_holds():
     import pyarrow as pa
 
