@@ -269,3 +269,22 @@ def test_decode_by_join_sends_the_vocabulary_and_cuts_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and plan.count("ArrowEvalPython [") == 2
     assert [tuple(r) for r in out.collect()] == [(0, "the in")]
+
+
+def test_join_plan_moves_each_word_of_a_text_once(spark):
+    config = {**bpe(["<unk>", "a", "b", "ab", "\x1f", "<x>"], [["a", "b"]], unk_token="<unk>"), "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "invert": True}}
+    for added in ([], [{"id": 5, "content": "<x>", "special": True}]):
+        tok = Tokenizer.from_dict({**config, "added_tokens": added})
+        x = spark.createDataFrame([(1, "ab a ab <x> a\x1fb ab <x>"), (2, ""), (3, None), (4, "ab")], "id int, text string")
+        rows = [(r["id"], r["word"], r["is_added"], r["at"]) for r in tok._words_of_texts(x, "id", "text").collect()]
+        assert len(rows) == len({r[:3] for r in rows}) == 5 and (1, "ab", False, [0, 2, 5]) in rows
+        want = {r["id"]: r["t"] for r in x.select("id", tok.tokenize(F.col("text"), False).alias("t")).collect()}
+        assert {r["id"]: r["tokens"] for r in tok.encode_by_join(x, "id", add_special_tokens=False).collect()} == want
+
+
+def test_join_plan_sends_the_vocabulary_to_the_words(spark):
+    words = spark.createDataFrame([("there",), ("",)], "word string").distinct()
+    for config in (fixtures.wordpiece(), fixtures.unigram(), fixtures.bpe(True, True)):
+        plan = kernels.join_tokens(words, Definition.from_dict(config))._jdf.queryExecution().executedPlan().toString()
+        # before, substrings and characters of all words were dealt by their text
+        assert not any(f"hashpartitioning({by}#" in plan for by in ("token", "piece", "left")) and "BroadcastHashJoin" in plan
