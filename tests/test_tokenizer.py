@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from wordloom.operators import kernels
 from wordloom.plans import fixtures
 from wordloom.sources.definition import Definition, read_merges, register
 from wordloom.streaming import encode as streaming
-from wordloom.tokenizer import LONGEST, PAD_TO_MAX, EncodeOptions, Tokenizer
+from wordloom.tokenizer import LONGEST, PAD_TO_MAX, EncodeOptions, Tokenizer, _kernel
 
 
 def bpe(vocab, merges=(), **more):
@@ -288,3 +289,16 @@ def test_join_plan_sends_the_vocabulary_to_the_words(spark):
         plan = kernels.join_tokens(words, Definition.from_dict(config))._jdf.queryExecution().executedPlan().toString()
         # before, substrings and characters of all words were dealt by their text
         assert not any(f"hashpartitioning({by}#" in plan for by in ("token", "piece", "left")) and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("ignore_merges", [False, True])
+def test_new_words_of_known_pieces_are_not_merged_again(monkeypatch, ignore_merges):
+    definition = Definition.from_dict(fixtures.bpe(True, ignore_merges))
+    plain, start, seen = kernels.bpe(definition), kernels.bpe_symbols(definition), []
+    monkeypatch.setattr(kernels, "bpe_symbols", lambda d: lambda word: seen.append(word) or start(word))
+    words = [f"nothing{k}ther{k}é中" for k in range(3000)] + ["thereof", "nothing", "", "中", "tionable"]
+    rows = [[{"words": words, "is_added": False}], None, [], [{"words": ["thereof"], "is_added": True}, {"words": ["notionable"], "is_added": False}]]
+    kind = pa.list_(pa.struct([("words", pa.list_(pa.string())), ("is_added", pa.bool_())]))
+    got = _kernel(definition).func(pa.array(rows, kind)).to_pylist()
+    assert got == [[t for w in words for t in plain(w)], None, [], ["thereof", *plain("notionable")]]
+    assert len(seen) < len(words) / 4
